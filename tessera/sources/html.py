@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.functions import text as T
 
@@ -142,7 +143,10 @@ def _parse(html: str) -> tuple[str, str | None, str | None]:
     return page.parts()
 
 
-@F.pandas_udf("text string, title string, heading string")
+_PARTS = StructType([StructField(n, StringType()) for n in ("text", "title", "heading")])
+
+
+@F.pandas_udf(_PARTS)
 def html_parts(html: pd.Series) -> pd.DataFrame:
     """Joined text nodes, the title element and the first h1/h2 of each page."""
     rows = [_parse(h) if isinstance(h, str) else (None, None, None) for h in html]

@@ -90,3 +90,14 @@ def stored_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
         vectors = materialize(embed_chunks(index.chunks, letter_profile, MODEL))
         _STORED[key] = Corpus(index, vectors)
     return _STORED[key]
+
+
+_RUNS: dict[tuple, DataFrame] = {}
+
+
+def saved_run(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A result table that several queries compare, stored once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _RUNS:
+        _RUNS[key] = materialize(build())
+    return _RUNS[key]

@@ -16,6 +16,7 @@ from catalog.corpus import (
     documents,
     letter_profile,
     queries,
+    saved_run,
     stored_corpus,
     table,
     word_share,
@@ -32,7 +33,6 @@ from tessera.operators.chunking import chunk_documents
 from tessera.operators.index import LexicalIndex, build_index, describe_chunks, refresh_index
 from tessera.plans import reconcile as P
 from tessera.plans.search import Backends, ask, inspect, search
-from tessera.session import materialize
 from tessera.sources.artifacts import complete_golden
 from tessera.sources.html import extract_html
 from tessera.sources.paged import assemble_pages
@@ -483,16 +483,14 @@ def rrf(spark, sf_dir):
 
 @register
 def near_dup_collapse(spark, sf_dir):
-    _, lexical, semantic = arms(spark, sf_dir)
-    return ranked_view(H.collapse_near_duplicates(H.rrf(lexical, semantic)), "final_rank")
+    return ranked_view(H.collapse_near_duplicates(fused_results(spark, sf_dir)), "final_rank")
 
 
 @register
 def rerank(spark, sf_dir):
-    q, lexical, semantic = arms(spark, sf_dir)
-    collapsed = H.collapse_near_duplicates(H.rrf(lexical, semantic))
+    collapsed = H.collapse_near_duplicates(fused_results(spark, sf_dir))
     return ranked_view(
-        H.rerank(collapsed, q, word_share).withColumn(
+        H.rerank(collapsed, queries(spark, sf_dir), word_share).withColumn(
             "reranker_score", F.round("reranker_score", 6)
         ),
         "final_rank",
@@ -503,17 +501,28 @@ def rerank(spark, sf_dir):
 @register
 def diversify(spark, sf_dir):
     """All fused rows re-ordered under the cap of one row per document."""
-    _, lexical, semantic = arms(spark, sf_dir)
-    return ranked_view(H.diversify(H.rrf(lexical, semantic), 20, 1), "final_rank")
+    return ranked_view(H.diversify(fused_results(spark, sf_dir), 20, 1), "final_rank")
 
 
 def hybrid_results(spark, sf_dir, limit: int = H.RESULT_LIMIT) -> DataFrame:
-    return search(queries(spark, sf_dir), "hybrid", backends(spark, sf_dir), limit)
+    def build():
+        return search(queries(spark, sf_dir), "hybrid", backends(spark, sf_dir), limit)
+
+    return saved_run(spark, sf_dir, f"hybrid-{limit}", build)
+
+
+def fused_results(spark, sf_dir) -> DataFrame:
+    def build():
+        _, lexical, semantic = arms(spark, sf_dir)
+        return H.rrf(lexical, semantic)
+
+    return saved_run(spark, sf_dir, "fused", build)
 
 
 @register
 def hybrid_search(spark, sf_dir):
-    return ranked_view(hybrid_results(spark, sf_dir), "final_rank")
+    found = search(queries(spark, sf_dir), "hybrid", backends(spark, sf_dir))
+    return ranked_view(found, "final_rank")
 
 
 @register
@@ -673,13 +682,20 @@ def golden(spark, sf_dir):
     )
 
 
+def mode_results(spark, sf_dir, mode, k):
+    def build():
+        return search(queries(spark, sf_dir), mode, backends(spark, sf_dir), k)
+
+    return saved_run(spark, sf_dir, f"{mode}-{k}", build)
+
+
 def lexical_eval(spark, sf_dir, k):
-    found = L.lexical_search(queries(spark, sf_dir), stored_corpus(spark, sf_dir).index, k)
+    found = mode_results(spark, sf_dir, "lexical", k)
     return E.evaluate_retrieval(found, golden(spark, sf_dir), k)
 
 
 def semantic_eval(spark, sf_dir, k):
-    found = search(queries(spark, sf_dir), "semantic", backends(spark, sf_dir), k)
+    found = mode_results(spark, sf_dir, "semantic", k)
     return E.evaluate_retrieval(found, golden(spark, sf_dir), k, "lexical")
 
 
@@ -713,7 +729,7 @@ def retrieval_eval(spark, sf_dir):
 
 @register
 def case_bundles(spark, sf_dir):
-    found = L.lexical_search(queries(spark, sf_dir), stored_corpus(spark, sf_dir).index)
+    found = mode_results(spark, sf_dir, "lexical", 8)
     rows, _ = E.evaluate_retrieval(found, golden(spark, sf_dir), 8)
     return E.case_bundles(found, rows).select(
         "case_id",
@@ -729,8 +745,7 @@ def case_bundles(spark, sf_dir):
 @register
 def retrieval_diff(spark, sf_dir):
     """Fused ranking against the reranked one."""
-    _, lexical, semantic = arms(spark, sf_dir)
-    before = H.rrf(lexical, semantic).filter("final_rank <= 8")
+    before = fused_results(spark, sf_dir).filter("final_rank <= 8")
     rows = D.diff_retrieval(before, hybrid_results(spark, sf_dir))
     return rows.select(
         "query_id",
@@ -745,8 +760,7 @@ def retrieval_diff(spark, sf_dir):
 
 @register
 def retrieval_diff_summary(spark, sf_dir):
-    _, lexical, semantic = arms(spark, sf_dir)
-    before = H.rrf(lexical, semantic).filter("final_rank <= 8")
+    before = fused_results(spark, sf_dir).filter("final_rank <= 8")
     return D.summarize_retrieval_diff(D.diff_retrieval(before, hybrid_results(spark, sf_dir)))
 
 
@@ -801,7 +815,10 @@ def responses(q: DataFrame, shift: int = 0) -> DataFrame:
 
 
 def gated(spark, sf_dir):
-    return A.gate_evidence(queries(spark, sf_dir), answer_results(spark, sf_dir))
+    def build():
+        return A.gate_evidence(queries(spark, sf_dir), answer_results(spark, sf_dir))
+
+    return saved_run(spark, sf_dir, "gated", build)
 
 
 def answer_results(spark, sf_dir):
@@ -836,8 +853,10 @@ def build_prompts(spark, sf_dir):
 
 
 def answered(spark, sf_dir, shift: int = 0):
-    q = queries(spark, sf_dir)
-    return A.validate_answers(gated(spark, sf_dir), responses(q, shift))
+    def build():
+        return A.validate_answers(gated(spark, sf_dir), responses(queries(spark, sf_dir), shift))
+
+    return saved_run(spark, sf_dir, f"answers-{shift}", build)
 
 
 @register

@@ -15,6 +15,7 @@ from tessera.functions import text as T
 from tessera.operators.index import LexicalIndex
 from tessera.operators.lexical import lexical_search, query_shape
 from tessera.operators.semantic import Embedder, semantic_search
+from tessera.session import materialize
 
 # --- fixed values -----------------------------------------------------------
 RRF_K = 60
@@ -96,14 +97,19 @@ def near_duplicate(a: Column, b: Column) -> Column:
 
 
 def collapse_near_duplicates(ranked: DataFrame) -> DataFrame:
-    """Greedy in rank order: a row goes when it repeats a kept row of its document."""
+    """Greedy in rank order: a row goes when it repeats a kept row of its document.
+
+    Rows travel inside the per-document list, so the input is read once; a list
+    holds at most the rows one query has from one document.
+    """
     words = T.similarity_tokens(T.strip(F.col("chunk_text")))
     item = F.struct(
         F.col("final_rank").alias("rank"),
-        "stable_id",
+        F.col("stable_id").alias("stable_id"),
         T.strip(F.col("chunk_text")).alias("body"),
         F.array_distinct(words).alias("words"),
         F.size(words).alias("word_count"),
+        F.struct(*ranked.columns).alias("row"),
     )
     groups = (
         ranked.select("query_id", "document_id", item.alias("item"))
@@ -117,15 +123,8 @@ def collapse_near_duplicates(ranked: DataFrame) -> DataFrame:
             F.concat(acc, F.array(it))
         ),
     )
-    survivors = groups.select(
-        "query_id", "document_id", F.explode(F.transform(kept, lambda i: i["rank"])).alias("rank")
-    )
-    remaining = ranked.join(
-        survivors.select("query_id", F.col("rank").alias("final_rank")),
-        ["query_id", "final_rank"],
-        "left_semi",
-    )
-    return _renumber(remaining, F.asc("final_rank"))
+    survivors = groups.select(F.inline(F.transform(kept, lambda i: i["row"])))
+    return _renumber(survivors, F.asc("final_rank"))
 
 
 def anchor_priority() -> Column:
@@ -236,12 +235,14 @@ def hybrid_search(
     max_per_document: int = MAX_PER_DOCUMENT,
     diagnostics: bool = False,
 ) -> DataFrame | tuple[DataFrame, DataFrame]:
-    """Both arms, fusion, collapse, rerank and diversity in one plan."""
+    """Both arms, fusion, collapse, rerank and diversity."""
     shape = query_shape(q)
     lexical = lexical_search(q, index, lexical_limit, shape)
     semantic = semantic_search(q, vec, index.chunks, embedder, model, semantic_limit, shape.small)
-    fused = rrf(lexical, semantic)
-    collapsed = collapse_near_duplicates(fused)
+    # Several steps read the fused rows; they are few per query and stored once,
+    # so that neither arm is ever computed again.
+    fused = materialize(rrf(lexical, semantic))
+    collapsed = materialize(collapse_near_duplicates(fused))
     final = diversify(rerank(collapsed, q, scorer, rerank_limit), limit, max_per_document)
     if not diagnostics:
         return final

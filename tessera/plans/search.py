@@ -21,6 +21,7 @@ from tessera.operators.answers import (
 from tessera.operators.index import LexicalIndex
 from tessera.operators.lexical import lexical_search
 from tessera.operators.semantic import Embedder, semantic_search
+from tessera.session import materialize
 
 MODES = ("lexical", "semantic", "hybrid")
 ANSWER_RESULTS = 5
@@ -109,8 +110,10 @@ def ask(
 ) -> DataFrame:
     """Validated answers with snapshot id, retrieval diagnostics and context diversity."""
     seen = inspect(q, backends, limit, max_per_document)
-    gated = gate_evidence(q, seen.results)
-    answers = validate_answers(gated, generate_responses(build_prompts(gated), generator))
+    gated = materialize(gate_evidence(q, seen.results))
+    # The model is called once per prompt, however often the answers are read.
+    responses = materialize(generate_responses(build_prompts(gated), generator))
+    answers = validate_answers(gated, responses)
     context = context_diversity(answers).select(
         "query_id", F.col("unique_document_count").alias("context_document_count")
     )

@@ -7,7 +7,7 @@ documents -> chunks -> tokens -> scores like the query it checks.
 from __future__ import annotations
 
 from catalog.corpus import LETTERS
-from catalog.queries import RESPONSES
+from catalog.queries import EVIDENCE_BAR, RESPONSES
 from tessera.functions.text import accent_table
 from tessera.operators import answers as A
 from tessera.operators import evaluation as E
@@ -313,7 +313,8 @@ FINAL = [*RERANKED, *final_ctes("reranked", "final", 8, 2)]
 ANSWER_ROWS = [
     *RERANKED,
     *final_ctes("reranked", "top5", 5, 2),
-    "shown AS MATERIALIZED (SELECT * FROM top5 WHERE final_rank <= query_id % 7)",
+    f"passed AS (SELECT * FROM top5 WHERE reranker_score >= {EVIDENCE_BAR})",
+    *final_ctes("passed", "shown", 5, 2),
     *collapse_ctes("shown", "context"),
 ]
 GATED = [
@@ -527,7 +528,7 @@ SECTIONS = [
     DOCS,
     f"""paras AS MATERIALIZED (
   SELECT document_id, i, tile, heading, regexp_extract_all(tile, '{WS}*{NON_WS}+') AS toks,
-    sum(length(tile)) OVER (PARTITION BY document_id ORDER BY i) - length(tile) AS pos
+    CAST(sum(length(tile)) OVER (PARTITION BY document_id ORDER BY i) AS BIGINT) - length(tile) AS pos
   FROM (SELECT document_id, i, CASE WHEN i > 1 THEN chr(10) || chr(10) ELSE '' END
         || CASE WHEN length(line) <= 80 THEN '# ' || line ELSE line END AS tile,
       CASE WHEN length(line) <= 80 THEN {strip('line')} END AS heading
@@ -649,6 +650,15 @@ PAGES = f"""pages_text AS MATERIALIZED (
       '<h1>[ ]*', '<h1># ', 'g') AS body FROM pages))"""
 
 
+SNAPSHOTS = """snapshots AS (
+  SELECT query_id, coalesce(n, 0) AS result_count, documents,
+    left(sha256(query_text || chr(31) || 'hybrid' || coalesce(body, '')), 16) AS snapshot_id
+  FROM q LEFT JOIN (SELECT query_id, count(*) AS n, count(DISTINCT document_id) AS documents,
+      string_agg(chr(30) || chunk_id || chr(31) || stable_id || chr(31) || final_rank, ''
+        ORDER BY final_rank) AS body
+    FROM shown GROUP BY query_id) USING (query_id))"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
     rough = "replace(text, '. ', '. ' || chr(9) || chr(13) || chr(10) || chr(13) || chr(10) || chr(10))"
@@ -703,6 +713,20 @@ def oracle_sql() -> dict[str, str]:
       FROM paged""",
         paged,
     )
+    paged_chunk = "'[Page ' || page_number || ']' || CASE WHEN t = '' THEN '' ELSE chr(10) || t END"
+    sql["chunk_paged"] = statement(
+        f"""SELECT document_id * 1048576 + chunk_index AS chunk_id, document_id, chunk_index,
+      {stable_id('document_id', 'start_offset', 'end_offset', 'page_number', 'body')} AS stable_id,
+      NULL::VARCHAR AS section_title, start_offset, end_offset, {word_count('body')}
+        AS token_estimate, page_number
+      FROM (SELECT *, end_offset - length(body) AS start_offset FROM (
+        SELECT *, CAST(sum(length(body)) OVER w AS BIGINT) + 2 * chunk_index AS end_offset
+        FROM (SELECT *, {paged_chunk} AS body, row_number() OVER w - 1 AS chunk_index
+          FROM (SELECT conv_id AS document_id, turn + 1 AS page_number, {normalize('text')} AS t
+            FROM conversations)
+          WINDOW w AS (PARTITION BY document_id ORDER BY page_number))
+        WINDOW w AS (PARTITION BY document_id ORDER BY page_number)))"""
+    )
     sql["page_extract"] = statement(
         "SELECT document_id, source_path, title, text FROM pages_text", PAGES
     )
@@ -930,6 +954,24 @@ def oracle_sql() -> dict[str, str]:
       generator_called FROM answers_a""",
         *ANSWERS,
     )
+    sql["ask_answers"] = statement(
+        f"""SELECT query_id, CASE WHEN decision = 'generate' AND NOT weak_retrieval THEN 'Evidence: '
+        || array_to_string(list_transform(range(1, cited + 1), lambda i: '[' || i || ']'), ' ')
+        WHEN decision = 'generate' THEN {quote(A.FAILURE_ANSWER)}
+        WHEN decision = 'single' THEN {quote(A.SINGLE_ANSWER)} ELSE {quote(A.EMPTY_ANSWER)} END
+        AS answer,
+      CASE WHEN decision = 'generate' AND NOT weak_retrieval THEN cited ELSE 0 END
+        AS cited_chunk_count, snapshot_id,
+      (SELECT count(*) FROM fused f WHERE f.query_id = g.query_id) AS fused_candidate_count,
+      retrieved_count AS returned_result_count, coalesce(documents, 0) AS unique_document_count,
+      coalesce(used_documents, 0) AS context_document_count
+      FROM (SELECT *, (used_chunk_count + 1) // 2 AS cited FROM gated) g
+        JOIN snapshots USING (query_id)
+        LEFT JOIN (SELECT query_id, count(DISTINCT document_id) AS used_documents FROM context
+          WHERE final_rank <= 5 GROUP BY query_id) USING (query_id)""",
+        *RERANKED, *final_ctes("reranked", "shown", 5, 2), *collapse_ctes("shown", "context"),
+        *GATED[-2:], SNAPSHOTS,
+    )
     declined = " OR ".join(f"contains(lower(answer), {quote(m)})" for m in E.DECLINE_MARKERS)
     problems = f"""concat_ws('|',
       CASE WHEN should_decline AND NOT declined THEN {quote(E.EXPECTED_DECLINE)} END,
@@ -950,12 +992,7 @@ def oracle_sql() -> dict[str, str]:
         *ANSWERS, GOLDEN,
     )
     sql["snapshot_ids"] = statement(
-        """SELECT query_id, left(sha256(query_text || chr(31) || 'hybrid' || coalesce(body, '')), 16)
-        AS snapshot_id, coalesce(n, 0) AS result_count
-      FROM q LEFT JOIN (SELECT query_id, count(*) AS n, string_agg(chr(30) || chunk_id || chr(31)
-        || stable_id || chr(31) || final_rank, '' ORDER BY final_rank) AS body
-        FROM shown GROUP BY query_id) USING (query_id)""",
-        *ANSWER_ROWS,
+        "SELECT query_id, snapshot_id, result_count FROM snapshots", *ANSWER_ROWS, SNAPSHOTS
     )
     sql["answer_diff"] = statement(
         """SELECT query_id, false AS query_mismatch, a.answer <> b.answer AS answer_changed,

@@ -807,6 +807,10 @@ RESPONSES = (
 )
 
 
+# Reranker score from which a row counts as evidence for an answer.
+EVIDENCE_BAR = 0.5
+
+
 def responses(q: DataFrame, shift: int = 0) -> DataFrame:
     """Ready model responses, one of each kind in turn."""
     kinds = F.array(*(F.lit(r) for r in RESPONSES))
@@ -822,10 +826,13 @@ def gated(spark, sf_dir):
 
 
 def answer_results(spark, sf_dir):
-    """Result lists of every length: hybrid rows up to the number of lexical hits."""
-    found = hybrid_results(spark, sf_dir, 5)
-    size = F.pmod(F.col("query_id"), F.lit(7))
-    return found.filter(F.col("final_rank") <= size)
+    """Hybrid rows whose reranker score passes a bar: lists of every length, some empty."""
+
+    def build():
+        found = hybrid_results(spark, sf_dir, 5)
+        return H.diversify(found.filter(F.col("reranker_score") >= EVIDENCE_BAR), 5)
+
+    return saved_run(spark, sf_dir, "answer-results", build)
 
 
 @register

@@ -159,7 +159,7 @@ BM25 = [
   FROM (SELECT phrase, ln((total - n + 5e-1) / (n + 5e-1)) AS v
     FROM (SELECT phrase, count(*) AS n FROM hits GROUP BY phrase), corpus))""",
     """bm25 AS MATERIALIZED (
-  SELECT query_id, chunk_id, sum(CAST(round(times * idf * f * 2.2e0
+  SELECT query_id, chunk_id, sum(CAST(floor(times * idf * f * 2.2e0
       / (f + 1.2e0 * (25e-2 + 75e-2 * n / average)) * 1e13) AS BIGINT))::DOUBLE / 1e13 AS score
   FROM hits JOIN clauses USING (phrase) JOIN weights USING (phrase) JOIN lens USING (chunk_id),
     corpus GROUP BY ALL)""",

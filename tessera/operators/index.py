@@ -9,7 +9,7 @@ common token never becomes one large file or one large task.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +37,7 @@ TABLES = ("chunks", "postings", "vocabulary", "stats")
 @dataclass(frozen=True)
 class LexicalIndex:
     chunks: DataFrame  # chunk rows with their document's title and path
-    postings: DataFrame  # token, bucket, chunk_id, field, position, chunk_tokens
+    postings: DataFrame  # token, next_token, bucket, chunk_id, field, position, chunk_tokens
     vocabulary: DataFrame  # token, chunk_count
     stats: DataFrame  # one row: chunk_count, average_tokens
 
@@ -83,20 +83,30 @@ def _tokenized(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.array(*tokens).alias("fields"))
 
 
-def _derived(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    tokenized = _tokenized(chunks)
+def _derived(tokenized: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings, vocabulary and stats of tokenised chunks."""
     size = F.size(F.flatten("fields"))
+
+    def occurrences(tokens: Column) -> Column:
+        return F.transform(
+            tokens,
+            lambda t, i: F.struct(
+                t.alias("token"), i.alias("position"), F.get(tokens, i + 1).alias("next_token")
+            ),
+        )
+
     postings = (
         tokenized.select("chunk_id", size.alias("chunk_tokens"), F.posexplode("fields"))
         .withColumnsRenamed({"pos": "field", "col": "tokens"})
-        .select("chunk_id", "chunk_tokens", "field", F.posexplode("tokens"))
+        .select("chunk_id", "chunk_tokens", "field", F.inline(occurrences(F.col("tokens"))))
         .select(
-            F.col("col").alias("token"),
+            "token",
+            "next_token",
             "chunk_id",
             "field",
-            F.col("pos").alias("position"),
+            "position",
             "chunk_tokens",
-            token_bucket(F.col("col")).alias("bucket"),
+            token_bucket(F.col("token")).alias("bucket"),
         )
     )
     vocabulary = (
@@ -113,7 +123,7 @@ def _derived(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def build_index(ch: DataFrame, doc: DataFrame | None = None) -> LexicalIndex:
     """Index of all chunks, as lazy plans; see `write_index` to store it."""
     chunks = describe_chunks(ch, doc)
-    return LexicalIndex(chunks, *_derived(chunks))
+    return LexicalIndex(chunks, *_derived(_tokenized(chunks)))
 
 
 def refresh_index(
@@ -130,8 +140,8 @@ def refresh_index(
     touched = touched.distinct()
     old = index.chunks.join(touched, "document_id", "left_semi")
     kept = index.chunks.join(touched, "document_id", "left_anti")
-    new_postings, new_vocabulary, _ = _derived(changed)
-    _, old_vocabulary, _ = _derived(old)
+    new_postings, new_vocabulary, new_stats = _derived(_tokenized(changed))
+    _, old_vocabulary, old_stats = _derived(_tokenized(old))
     postings = index.postings.join(
         old.select("chunk_id"), "chunk_id", "left_anti"
     ).unionByName(new_postings)
@@ -149,8 +159,8 @@ def refresh_index(
         )
         for s, sign in (
             (index.stats, 1),
-            (_derived(changed)[2], 1),
-            (_derived(old)[2], -1),
+            (new_stats, 1),
+            (old_stats, -1),
         )
     ]
     stats = (
@@ -185,11 +195,6 @@ def read_index(spark: SparkSession, path: str) -> LexicalIndex:
 def materialize_index(index: LexicalIndex) -> LexicalIndex:
     """Index whose tables are stored in the session's shared folder."""
     chunks = materialize(index.chunks)
-    stored = replace(index, chunks=chunks)
-    postings, vocabulary, stats = _derived(chunks)
-    return replace(
-        stored,
-        postings=materialize(postings),
-        vocabulary=materialize(vocabulary),
-        stats=materialize(stats),
-    )
+    # Texts are tokenised once; all three tables derive from the stored tokens.
+    tokenized = materialize(_tokenized(chunks))
+    return LexicalIndex(chunks, *(materialize(df) for df in _derived(tokenized)))

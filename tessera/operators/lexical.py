@@ -78,39 +78,56 @@ def phrase_hits(index: LexicalIndex, phrases: DataFrame, shape: QueryShape) -> D
     With a broadcast phrase table the only shuffle is by chunk, which spreads
     common words evenly and also serves the per-chunk sums that follow.
     """
+    single = _found(
+        index.postings,
+        phrases.filter(~F.contains("phrase", F.lit(" "))).select(
+            "phrase", F.col("phrase").alias("token")
+        ),
+        ["token"],
+        shape,
+    ).select("phrase", "chunk_id", "field", "chunk_tokens")
     if not shape.phrases:
-        wanted = phrases.select("phrase", F.col("phrase").alias("token")).withColumn(
-            "bucket", token_bucket(F.col("token"))
-        )
-        found = index.postings.join(hint_small(wanted, shape.small), ["bucket", "token"])
-        return _weigh(found.repartition("chunk_id") if shape.small else found)
-    wanted = phrases.select(
-        "phrase",
-        F.size(F.split("phrase", " ")).alias("words"),
-        F.posexplode(F.split("phrase", " ")).alias("offset", "token"),
-    ).withColumn("bucket", token_bucket(F.col("token")))
-    found = index.postings.join(hint_small(wanted, shape.small), ["bucket", "token"]).select(
-        "phrase",
-        "words",
-        "chunk_id",
-        "field",
-        (F.col("position") - F.col("offset")).alias("anchor"),
-        "chunk_tokens",
-    )
-    if shape.small:
-        found = found.repartition("chunk_id")
-    # A phrase occurs where all its words meet at one anchor.
-    single = found.filter("words = 1").select("phrase", "chunk_id", "field", "chunk_tokens")
+        return _weigh(single)
+    # Phrases are looked up by pairs of neighbours, far rarer than single words;
+    # a phrase occurs where all its pairs meet at one anchor.
+    words = F.split("phrase", " ")
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.size(words) - 2),
+        lambda i: F.struct(
+            i.alias("offset"),
+            F.get(words, i).alias("token"),
+            F.get(words, i + 1).alias("next_token"),
+        ),
+    )
+    wanted = phrases.filter(F.contains("phrase", F.lit(" "))).select(
+        "phrase", F.size(pairs).alias("pairs"), F.inline(pairs)
+    )
     several = (
-        found.filter("words > 1")
-        .groupBy("chunk_id", "phrase", "field", "anchor", "words", "chunk_tokens")
+        _found(index.postings, wanted, ["token", "next_token"], shape)
+        .groupBy(
+            "chunk_id",
+            "phrase",
+            "field",
+            (F.col("position") - F.col("offset")).alias("anchor"),
+            "pairs",
+            "chunk_tokens",
+        )
         .agg(F.count("*").alias("met"))
-        .filter("met = words")
+        .filter("met = pairs")
         .select("phrase", "chunk_id", "field", "chunk_tokens")
     )
     return _weigh(single.unionByName(several))
 
 
+def _found(
+    postings: DataFrame, wanted: DataFrame, keys: list[str], shape: QueryShape
+) -> DataFrame:
+    """Occurrences of the wanted tokens; the bucket prunes stored postings."""
+    wanted = wanted.withColumn("bucket", token_bucket(F.col("token")))
+    found = postings.join(hint_small(wanted, shape.small), ["bucket", *keys])
+    return found.repartition("chunk_id") if shape.small else found
+
+
 def _weigh(found: DataFrame) -> DataFrame:
     return found.groupBy("chunk_id", "phrase", "chunk_tokens").agg(
         F.sum(field_weight(F.col("field"))).alias("hits")
@@ -151,7 +168,7 @@ def bm25_scores(index: LexicalIndex, clauses: DataFrame, shape: QueryShape) -> D
     return (
         hits.join(hint_small(weighted, shape.small), "phrase")
         .groupBy("query_id", "chunk_id")
-        .agg(F.sum(F.round(part * SCORE_UNIT).cast("long")).alias("units"))
+        .agg(F.sum(F.floor(part * SCORE_UNIT)).alias("units"))
         .select("query_id", "chunk_id", (F.col("units") / SCORE_UNIT).alias("score"))
     )
 

@@ -131,12 +131,14 @@ def gate_evidence(q: DataFrame, ranked: DataFrame, limit: int = CONTEXT_LIMIT) -
     item = F.struct("final_rank", *(c for c in context.columns if c not in ("query_id", "final_rank")))
     used = context.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("used"))
     retrieved = ranked.groupBy("query_id").agg(F.count("*").alias("retrieved_count"))
+    none = F.array().cast(used.schema["used"].dataType)
     joined = (
         q.select("query_id", "query_text")
         .join(retrieved, "query_id", "left")
         .join(used, "query_id", "left")
+        .withColumn("used", F.coalesce("used", none))
     )
-    count = F.coalesce(F.size("used"), F.lit(0))
+    count = F.size("used")
     first = F.get("used", F.lit(0))
     confident = F.coalesce(
         (first["lexical_rank"] == 1)
@@ -146,7 +148,7 @@ def gate_evidence(q: DataFrame, ranked: DataFrame, limit: int = CONTEXT_LIMIT) -
     decision = (
         F.when(count == 0, "empty").when((count == 1) & ~confident, "single").otherwise("generate")
     )
-    counted = joined.withColumn("used_chunk_count", F.when(F.col("used").isNull(), 0).otherwise(count))
+    counted = joined.withColumn("used_chunk_count", count)
     warnings = (
         F.when(F.col("decision") == "empty", F.array(F.lit(EMPTY_WARNING)))
         .when(F.col("decision") == "single", F.array(F.lit(LIMITED_WARNING), F.lit(SINGLE_WARNING)))
@@ -155,7 +157,7 @@ def gate_evidence(q: DataFrame, ranked: DataFrame, limit: int = CONTEXT_LIMIT) -
     )
     return (
         counted.withColumn("retrieved_count", F.coalesce("retrieved_count", F.lit(0)))
-        .withColumn("decision", F.when(F.col("used").isNull(), "empty").otherwise(decision))
+        .withColumn("decision", decision)
         .withColumn("weak_retrieval", F.col("used_chunk_count") < MIN_STRONG_CHUNKS)
         .withColumn("warnings", warnings)
     )
@@ -310,7 +312,7 @@ def validate_answers(gated: DataFrame, responses: DataFrame) -> DataFrame:
         "query_text",
         answer.alias("answer"),
         F.transform("labels", citation).alias("citations"),
-        F.coalesce("used", F.slice("used", 1, 0)).alias("used_chunks"),
+        F.col("used").alias("used_chunks"),
         T.dedupe_strings(F.concat("warnings", own)).alias("warnings"),
         "failure",
         "decision",
@@ -327,8 +329,8 @@ def context_diversity(answers: DataFrame) -> DataFrame:
     keys = F.transform("used_chunks", lambda u: u["document_id"])
     return answers.select(
         "query_id",
-        F.coalesce("used_chunk_count", F.lit(0)).alias("used_chunk_count"),
-        F.greatest(F.size(F.array_distinct(keys)), F.lit(0)).alias("unique_document_count"),
+        "used_chunk_count",
+        F.size(F.array_distinct(keys)).alias("unique_document_count"),
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.index import LexicalIndex
-from tessera.operators.lexical import lexical_search, query_shape
+from tessera.operators.lexical import lexical_search
 from tessera.operators.semantic import Embedder, semantic_search
 from tessera.session import materialize
 
@@ -236,9 +236,8 @@ def hybrid_search(
     diagnostics: bool = False,
 ) -> DataFrame | tuple[DataFrame, DataFrame]:
     """Both arms, fusion, collapse, rerank and diversity."""
-    shape = query_shape(q)
-    lexical = lexical_search(q, index, lexical_limit, shape)
-    semantic = semantic_search(q, vec, index.chunks, embedder, model, semantic_limit, shape.small)
+    lexical = lexical_search(q, index, lexical_limit)
+    semantic = semantic_search(q, vec, index.chunks, embedder, model, semantic_limit)
     # Several steps read the fused rows; they are few per query and stored once,
     # so that neither arm is ever computed again.
     fused = materialize(rrf(lexical, semantic))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.index import LexicalIndex, field_weight, token_bucket
-from tessera.session import BROADCAST_ROWS, hint_small
+from tessera.session import BROADCAST_ROWS, CANDIDATE_ROWS, hint_small
 
 # --- fixed values -----------------------------------------------------------
 EXACT_TITLE_BONUS = 25.0
@@ -22,9 +22,6 @@ BM25_B = 0.75
 IDF_FLOOR = 1e-6
 # ----------------------------------------------------------------------------
 
-# Candidates are broadcast (ids and a score) up to this limit per query.
-MAX_HINTED_LIMIT = 20
-
 # Scores are added as whole numbers of 1e-13, so that the sum does not depend on
 # the order of its terms and equal texts tie exactly.
 SCORE_UNIT = 1e13
@@ -60,16 +57,19 @@ class QueryShape:
 
     small: bool  # its clauses may be broadcast
     phrases: bool  # it holds clauses of several words
+    queries: int = 0  # searchable queries, when small
 
 
 def query_shape(q: DataFrame, max_clauses: int = BROADCAST_ROWS) -> QueryShape:
     """Counts the clauses, but no further than the broadcast bound."""
     seen = match_clauses(parse_queries(q)).limit(max_clauses + 1)
     row = seen.agg(
-        F.count("*").alias("n"), F.bool_or(F.contains("phrase", F.lit(" "))).alias("phrases")
+        F.count("*").alias("n"),
+        F.bool_or(F.contains("phrase", F.lit(" "))).alias("phrases"),
+        F.count_distinct("query_id").alias("queries"),
     ).first()
     small = row["n"] <= max_clauses
-    return QueryShape(small, bool(row["phrases"]) or not small)
+    return QueryShape(small, bool(row["phrases"]) or not small, row["queries"])
 
 
 def phrase_hits(index: LexicalIndex, phrases: DataFrame, shape: QueryShape) -> DataFrame:
@@ -202,8 +202,8 @@ def lexical_search(
     """
     shape = shape or query_shape(q)
     candidates = bm25_candidates(q, index, limit, shape)
-    # A searchable query has a clause, so candidates number at most 5 x limit each.
-    small = shape.small and limit <= MAX_HINTED_LIMIT
+    # A searchable query has at most 5 x limit candidates.
+    small = shape.small and shape.queries * FETCH_MULTIPLIER * limit <= CANDIDATE_ROWS
     parsed = parse_queries(q).select("query_id", "phrases", "terms", "normalized_query")
     # Candidates and queries are bounded by the query count, the chunks are not.
     rows = index.chunks.join(hint_small(candidates, small), "chunk_id").join(

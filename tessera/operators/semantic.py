@@ -13,7 +13,7 @@ from tessera import schemas
 from tessera.functions import text as T
 from tessera.functions.vectors import nearest_in_batches
 from tessera.operators.lexical import top_k
-from tessera.session import fits, hint_small
+from tessera.session import CANDIDATE_ROWS, fits, hint_small
 from tessera.sources.tables import upsert
 
 # A pandas UDF: text -> array<float>.
@@ -126,22 +126,27 @@ def semantic_search(
     embedder: Embedder,
     model: str,
     limit: int = 8,
-    small: bool | None = None,
 ) -> DataFrame:
     """Ranked chunks per query by distance to the embedded query; reads only."""
     hits = knn_topk(embed_queries(q, embedder), vec, limit, model)
-    if small is None:
-        small = fits(q.select("query_id"), 10_000)
-    return hydrate(hits, chunks, small and limit <= 20)
+    small = fits(q.select("query_id"), CANDIDATE_ROWS // limit)
+    return hydrate(hits, chunks, small)
 
 
 # Index upkeep ---------------------------------------------------------------
 
 
-def embed_chunks(ch: DataFrame, embedder: Embedder, model: str) -> DataFrame:
-    """Vectors of the given chunks, each chunk once."""
-    unique = ch.select("chunk_id", "document_id", "text").dropDuplicates(["chunk_id"])
-    return unique.select(
+def embed_chunks(
+    ch: DataFrame, embedder: Embedder, model: str, ids: DataFrame | None = None
+) -> DataFrame:
+    """Vectors of the chunk table, or of the chunks named in `ids`, each once.
+
+    The chunk table has one row per id, so texts are never shuffled to find
+    repeats; repeats in `ids` vanish in the semi-join.
+    """
+    if ids is not None:
+        ch = ch.join(ids.select("chunk_id"), "chunk_id", "left_semi")
+    return ch.select(
         "chunk_id",
         "document_id",
         F.lit(model).alias("embedding_model"),
@@ -149,6 +154,13 @@ def embed_chunks(ch: DataFrame, embedder: Embedder, model: str) -> DataFrame:
     )
 
 
+def check_embedded(wanted: DataFrame, vec: DataFrame) -> None:
+    """Fails unless there is one vector per wanted chunk."""
+    asked, made = wanted.select("chunk_id").distinct().count(), vec.count()
+    if asked != made:
+        raise RuntimeError(f"{made} vectors were made for {asked} chunks")
+
+
 def missing_chunks(ch: DataFrame, vec: DataFrame, model: str) -> DataFrame:
     known = vec.filter(F.col("embedding_model") == model).select("chunk_id")
     return ch.join(known, "chunk_id", "left_anti")

@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 from tessera import schemas
 from tessera.functions import text as T
 from tessera.operators.chunking import OVERLAP_TOKENS, PAGED_TYPE, TARGET_TOKENS, chunk_documents
-from tessera.operators.semantic import Embedder, embed_chunks, upsert_vectors, with_embedding_meta
+from tessera.operators.semantic import (
+    Embedder,
+    check_embedded,
+    embed_chunks,
+    upsert_vectors,
+    with_embedding_meta,
+)
 from tessera.plans.reconcile import (
     cascade_delete,
     chunk_counts,
@@ -122,17 +128,18 @@ def ingest_files(
         gone.unionByName(touched),
     )
     unchanged = changes.filter("NOT should_parse").select("document_id")
-    survivors = reconciled.filter("outcome <> 'deleted'").select(columns)
-    new_chunks = kept["chunks"].select(columns).unionByName(survivors)
+    preserved = reconciled.filter("outcome = 'preserved'").select(columns)
+    inserted = pending
     kept_vectors = kept["vectors"].unionByName(
         state.vectors.join(
-            reconciled.filter("outcome = 'preserved'").select("chunk_id"), "chunk_id", "left_semi"
+            preserved.select("chunk_id"), "chunk_id", "left_semi"
         )
     )
     if embedder is not None:
         fresh = materialize(embed_chunks(pending, embedder, model))
+        check_embedded(pending, fresh)
         kept_vectors = upsert_vectors(kept_vectors, fresh)
-        new_chunks = with_embedding_meta(new_chunks, fresh).select(columns)
+        inserted = with_embedding_meta(pending, fresh).select(columns)
     run_id = F.coalesce(state.runs.agg(F.max("run_id").alias("m")).select("m").scalar(), F.lit(0))
     run_row = run.select(
         (run_id + 1).alias("run_id"),
@@ -142,7 +149,7 @@ def ingest_files(
     )
     new_state = CorpusState(
         kept["documents"].join(unchanged, "document_id", "left_anti").unionByName(documents),
-        new_chunks,
+        kept["chunks"].select(columns).unionByName(preserved).unionByName(inserted),
         kept_vectors,
         state.runs.unionByName(run_row),
     )

@@ -45,44 +45,60 @@ def reconcile_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
     outcome: `preserved` keeps its chunk id and embedding metadata, `inserted`
     gets the next free id of its document, `deleted` is gone from the new text.
     """
-    right = old.select(
+    before = old.select(
         "document_id",
         "stable_id",
         F.col("chunk_id").alias("old_chunk_id"),
         F.col("embedding_model").alias("old_model"),
         F.col("embedding_dim").alias("old_dim"),
+        F.lit(False).alias("is_new"),
     )
-    joined = new.drop("chunk_id", "embedding_model", "embedding_dim").join(
-        right, ["document_id", "stable_id"], "full_outer"
+    now = new.drop("chunk_id", "embedding_model", "embedding_dim").withColumn(
+        "is_new", F.lit(True)
     )
-    outcome = (
-        F.when(F.col("old_chunk_id").isNull(), "inserted")
-        .when(F.col("chunk_index").isNull(), "deleted")
-        .otherwise("preserved")
+    # One shuffle by document serves the matching and the numbering below.
+    both = now.unionByName(before, allowMissingColumns=True).repartition("document_id")
+    same_id = Window.partitionBy("document_id", "stable_id")
+    matched = both.select(
+        "*",
+        F.bool_or("is_new").over(same_id).alias("still_there"),
+        *(F.max(c).over(same_id).alias(f"matched_{c}") for c in ("old_chunk_id", "old_model", "old_dim")),
     )
     per_document = Window.partitionBy("document_id")
     last_used = F.coalesce(
         F.max(F.col("old_chunk_id") - F.col("document_id") * CHUNK_ORDINALS).over(per_document),
         F.lit(-1),
     )
-    nth = F.row_number().over(per_document.partitionBy("document_id", "outcome").orderBy("chunk_index"))
-    fresh = chunk_id_of(F.col("document_id"), last_used + nth)
-    return joined.withColumn("outcome", outcome).select(
-        F.when(F.col("outcome") == "inserted", fresh)
-        .otherwise(F.col("old_chunk_id"))
-        .alias("chunk_id"),
-        "document_id",
-        "chunk_index",
-        "stable_id",
-        "section_title",
-        "page_number",
-        "start_offset",
-        "end_offset",
-        "text",
-        "token_estimate",
-        F.col("old_model").alias("embedding_model"),
-        F.col("old_dim").alias("embedding_dim"),
-        "outcome",
+    outcome = (
+        F.when(~F.col("is_new"), "deleted")
+        .when(F.col("matched_old_chunk_id").isNull(), "inserted")
+        .otherwise("preserved")
+    )
+    nth = F.row_number().over(
+        Window.partitionBy("document_id", "outcome").orderBy("chunk_index", "stable_id")
+    )
+    fresh = chunk_id_of(F.col("document_id"), F.col("last_used") + nth)
+    return (
+        matched.withColumn("last_used", last_used)
+        .withColumn("outcome", outcome)
+        .filter(F.col("is_new") | ~F.col("still_there"))
+        .select(
+            F.when(F.col("outcome") == "inserted", fresh)
+            .otherwise(F.col("matched_old_chunk_id"))
+            .alias("chunk_id"),
+            "document_id",
+            "chunk_index",
+            "stable_id",
+            "section_title",
+            "page_number",
+            "start_offset",
+            "end_offset",
+            "text",
+            "token_estimate",
+            F.col("matched_old_model").alias("embedding_model"),
+            F.col("matched_old_dim").alias("embedding_dim"),
+            "outcome",
+        )
     )
 
 

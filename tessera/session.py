@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # A side is broadcast only when it is counted to hold no more rows than this.
 # The rows in question are narrow (ids, ranks, short query text).
 BROADCAST_ROWS = 100_000
+# Ranked candidates are two ids, a score and a rank each.
+CANDIDATE_ROWS = 400_000
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, name: str = "tessera"):

@@ -877,6 +877,26 @@ def oracle_sql() -> dict[str, str]:
         WHERE vec_id NOT IN (SELECT document_id FROM gone)""",
         *CHUNKS, KNOWN, FOUND, GONE,
     )
+    second = [part.replace("lang = 'en'", "lang = 'de'") for part in REVISED]
+    sql["ingest_documents"] = statement(
+        """SELECT '/corpus/' || source_path AS source_path,
+      CASE lang WHEN 'fr' THEN 'added' WHEN 'de' THEN 'updated' ELSE 'unchanged' END AS change_type,
+      'parsed' AS parse_status,
+      CASE WHEN lang = 'fr' THEN 0 ELSE preserved END AS preserved_chunk_count,
+      CASE WHEN lang = 'fr' THEN preserved ELSE inserted END AS new_chunk_count,
+      removed AS removed_chunk_count
+      FROM docs JOIN (SELECT document_id, count(*) FILTER (outcome = 'preserved') AS preserved,
+          count(*) FILTER (outcome = 'inserted') AS inserted,
+          count(*) FILTER (outcome = 'deleted') AS removed FROM matched GROUP BY document_id)
+        USING (document_id)
+      WHERE lang <> 'es'""",
+        *second,
+    )
+    sql["ingest_run"] = """SELECT count(*) FILTER (lang <> 'es') AS docs_seen,
+      count(*) FILTER (lang = 'fr') AS docs_added, count(*) FILTER (lang = 'de') AS docs_updated,
+      count(*) FILTER (lang = 'en') AS docs_unchanged, count(*) FILTER (lang = 'es') AS docs_deleted,
+      0 AS docs_failed FROM documents"""
+    sql["event_stream"] = "SELECT event_id, user_id, event_type, value FROM events"
     sql["duplicate_texts"] = """SELECT sha256(text) AS content_hash, count(*) AS count FROM documents
       GROUP BY text HAVING count(*) > 1"""
     sql["eval_cases"] = statement(

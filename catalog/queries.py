@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import fields
 
 import pandas as pd
 
@@ -32,11 +34,15 @@ from tessera.operators import semantic as S
 from tessera.operators.chunking import chunk_documents
 from tessera.operators.index import LexicalIndex, build_index, describe_chunks, refresh_index
 from tessera.plans import reconcile as P
+from tessera.plans.ingest import ingest_files
 from tessera.plans.search import Backends, ask, inspect, search
+from tessera.plans.state import CorpusState, empty_state
+from tessera.session import materialize, shared_folder, spread
 from tessera.sources.artifacts import complete_golden
 from tessera.sources.html import extract_html
 from tessera.sources.paged import assemble_pages
 from tessera.sources.tables import duplicate_keys, upsert
+from tessera.streaming.jobs import copy_events, stream_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -649,6 +655,63 @@ def cascade_delete(spark, sf_dir):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+def text_files(spark, sf_dir, skip: str, revised: bool) -> DataFrame:
+    """Documents as files below /corpus, without one language; German ones may be revised."""
+    content = F.col("text")
+    if revised:
+        longer = F.concat("text", F.lit(" One more sentence."))
+        content = F.when(F.col("lang") == "de", longer).otherwise(content)
+    path = F.concat(
+        F.lit("/corpus/"), "source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")
+    )
+    return spread(table(spark, sf_dir, "documents").filter(F.col("lang") != skip)).select(
+        path.alias("path"),
+        F.lit("2026-01-01 00:00:00").cast("timestamp").alias("modificationTime"),
+        F.octet_length(content).cast("long").alias("length"),
+        content.cast("binary").alias("content"),
+    )
+
+
+def second_ingest(spark, sf_dir, part: str) -> DataFrame:
+    """Ingest of two versions of the corpus, the second on the state of the first."""
+
+    def build():
+        first = ingest_files(text_files(spark, sf_dir, "fr", False), ["/corpus"], empty_state(spark))
+        state = CorpusState(*(materialize(getattr(first.state, f.name)) for f in fields(CorpusState)))
+        second = ingest_files(text_files(spark, sf_dir, "es", True), ["/corpus"], state)
+        return getattr(second, part)
+
+    return saved_run(spark, sf_dir, f"ingest-{part}", build)
+
+
+@register
+def ingest_run(spark, sf_dir):
+    return second_ingest(spark, sf_dir, "run")
+
+
+@register
+def ingest_documents(spark, sf_dir):
+    return second_ingest(spark, sf_dir, "documents").select(
+        "source_path",
+        "change_type",
+        "parse_status",
+        "preserved_chunk_count",
+        "new_chunk_count",
+        "removed_chunk_count",
+    )
+
+
+@register
+def event_stream(spark, sf_dir):
+    """The event table delivered by a stream that stops when all is read."""
+    folder = f"{shared_folder(spark)}/tessera/{uuid.uuid4().hex}"
+    # A glob: the stream source takes folders and patterns, not one file.
+    path = f"{sf_dir}/events*.parquet"
+    events = stream_events(spark, path, spark.read.parquet(path).schema)
+    copy_events(events, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("event_id", "user_id", "event_type", "value")
+
+
 @register
 def duplicate_texts(spark, sf_dir):
     return duplicate_keys(

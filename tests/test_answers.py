@@ -2,10 +2,8 @@ from __future__ import annotations
 
 import json
 
-import pytest
-
 from tessera.operators import answers as A
-from tests.test_hybrid import row, table
+from tests.test_hybrid import NAMES, row, table
 
 STRONG = [
     row(101, 11, title="Socket Timeout Guide", chunk_text="Check the socket.", final_rank=1),
@@ -64,37 +62,50 @@ def test_valid_answer_is_renumbered(spark):
     assert got.cited_chunk_count == 2 and got.failure is None
 
 
-@pytest.mark.parametrize(
-    ("response", "failure"),
-    [
-        ("not json", A.BAD_JSON),
-        (None, A.BAD_JSON),
-        ("[1]", A.NOT_AN_OBJECT),
-        ("null", A.NOT_AN_OBJECT),
-        (reply(" ", []), A.EMPTY_FIELD),
-        ({"answer": 5, "citations": []}, A.EMPTY_FIELD),
-        ({"citations": []}, A.EMPTY_FIELD),
-        (reply("x [C1]", "C1"), A.BAD_LABELS),
-        (reply("x [C1]", ["C1", 2]), A.BAD_LABELS),
-        (reply("x [C1]", ["C1", None]), A.BAD_LABELS),
-        (reply("x [C1]", ["one"]), A.BAD_LABELS),
-        (reply("x", ["C1"]), A.UNCITED),
-        (reply("x", []), A.UNCITED),
-        (reply("x [C1]", ["C1", "C2"]), A.LABEL_MISMATCH),
-        ({"answer": "x [C1]"}, A.LABEL_MISMATCH),
-        (reply("x [C9]", ["C9"]), A.UNKNOWN_LABEL),
-        ({"answer": "x [C1]", "citations": ["C1"], "warnings": "w"}, A.BAD_WARNINGS),
-        ({"answer": "x [C1]", "citations": ["C1"], "warnings": [{}]}, A.BAD_WARNINGS),
-        ({"answer": "x [C1]", "citations": ["C1"]}, None),
-        ({"answer": "x [C1]", "citations": ["C1", "C1"], "warnings": None}, None),
-    ],
-)
-def test_first_broken_rule_is_reported(spark, response, failure):
-    got = answer(spark, STRONG, response)
-    assert got.failure == failure
-    if failure:
-        assert got.answer == A.FAILURE_ANSWER and got.warnings == [failure]
-        assert got.citations == [] and got.generator_called
+BROKEN = [
+    ("not json", A.BAD_JSON),
+    (None, A.BAD_JSON),
+    ("[1]", A.NOT_AN_OBJECT),
+    ("null", A.NOT_AN_OBJECT),
+    (reply(" ", []), A.EMPTY_FIELD),
+    ({"answer": 5, "citations": []}, A.EMPTY_FIELD),
+    ({"citations": []}, A.EMPTY_FIELD),
+    (reply("x [C1]", "C1"), A.BAD_LABELS),
+    (reply("x [C1]", ["C1", 2]), A.BAD_LABELS),
+    (reply("x [C1]", ["C1", None]), A.BAD_LABELS),
+    (reply("x [C1]", ["one"]), A.BAD_LABELS),
+    (reply("x", ["C1"]), A.UNCITED),
+    (reply("x", []), A.UNCITED),
+    (reply("x [C1]", ["C1", "C2"]), A.LABEL_MISMATCH),
+    ({"answer": "x [C1]"}, A.LABEL_MISMATCH),
+    (reply("x [C9]", ["C9"]), A.UNKNOWN_LABEL),
+    ({"answer": "x [C1]", "citations": ["C1"], "warnings": "w"}, A.BAD_WARNINGS),
+    ({"answer": "x [C1]", "citations": ["C1"], "warnings": [{}]}, A.BAD_WARNINGS),
+    ({"answer": "x [C1]", "citations": ["C1"]}, None),
+    ({"answer": "x [C1]", "citations": ["C1", "C1"], "warnings": None}, None),
+]
+
+
+def test_first_broken_rule_is_reported(spark):
+    """All responses in one batch, one query each."""
+    position = NAMES.index("query_id")
+    rows = [
+        (*r[:position], i, *r[position + 1 :]) for i in range(len(BROKEN)) for r in STRONG
+    ]
+    questions = spark.createDataFrame(
+        [(i, "q") for i in range(len(BROKEN))], "query_id long, query_text string"
+    )
+    raw = [r if isinstance(r, str) or r is None else json.dumps(r) for r, _ in BROKEN]
+    responses = spark.createDataFrame(
+        list(enumerate(raw)), "query_id long, raw_response string"
+    )
+    gated = A.gate_evidence(questions, table(spark, rows))
+    got = {r.query_id: r for r in A.validate_answers(gated, responses).collect()}
+    for i, (response, failure) in enumerate(BROKEN):
+        assert got[i].failure == failure, response
+        if failure:
+            assert got[i].answer == A.FAILURE_ANSWER and got[i].warnings == [failure]
+            assert got[i].citations == [] and got[i].generator_called
 
 
 def test_prompt_text(spark):

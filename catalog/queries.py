@@ -32,7 +32,7 @@ from tessera.operators import lexical as L
 from tessera.operators import runlog as R
 from tessera.operators import semantic as S
 from tessera.operators.chunking import chunk_documents
-from tessera.operators.index import LexicalIndex, build_index, describe_chunks, refresh_index
+from tessera.operators.index import build_index, describe_chunks, refresh_index
 from tessera.plans import reconcile as P
 from tessera.plans.ingest import ingest_files
 from tessera.plans.search import Backends, ask, inspect, search

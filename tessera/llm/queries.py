@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm import pii, secrets
 from tessera.llm.common import count_kind, joined_spans, of_kinds, read_table
+from tessera.llm.decontam import decontaminate
 from tessera.llm.exact_dedup import list_duplicates
 from tessera.llm.pieces import encode_pieces
+from tessera.llm.quality import KEEP_AT, score_documents, train
 from tessera.llm.token_files import read_tokens, write_tokens
 from tessera.llm.urls import canonical_url, judge_urls
 from tessera.session import shared_folder
@@ -78,6 +80,13 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return list_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+@register
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = train(docs, read_table(spark, sf_dir, "labels"))
+    return score_documents(docs, model).withColumn("kept", F.col("p_good") >= KEEP_AT)
+
+
 @register
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages")
@@ -85,3 +94,13 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("url", "^[^/?]*", 0).rlike("|".join(rf"(^|\.){h}\." for h in LISTED_HOSTS))
     )
     return judge_urls(pages, RULES, listed)
+
+
+@register
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )

@@ -93,6 +93,38 @@ SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_ite
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+JACCARD_JOIN = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + least(len(w), 5) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS p FROM d WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS meet
+  FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL
+),
+links AS (
+  SELECT a, b FROM pairs JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id
+  WHERE 100 * meet >= 75 * (p.n + q.n - meet)
+),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a
+)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach.b) AS component_id
+FROM d JOIN reach ON d.doc_id = reach.a LEFT JOIN n ON n.doc_id = d.doc_id
+GROUP BY d.doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
-    "op5_exact_dedup": EXACT_DEDUP, "op8_urls": URLS, "op10_decontamination": DECONTAMINATION
+    "op5_exact_dedup": EXACT_DEDUP, "op8_urls": URLS, "op9_jaccard_join": JACCARD_JOIN,
+    "op10_decontamination": DECONTAMINATION,
 }

@@ -13,6 +13,7 @@ from tessera.llm import pii, secrets
 from tessera.llm.common import count_kind, joined_spans, of_kinds, read_table
 from tessera.llm.decontam import decontaminate
 from tessera.llm.exact_dedup import list_duplicates
+from tessera.llm.jaccard_join import components
 from tessera.llm.pieces import encode_pieces
 from tessera.llm.quality import KEEP_AT, score_documents, train
 from tessera.llm.token_files import read_tokens, write_tokens
@@ -96,6 +97,11 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, RULES, listed)
 
 
+@register
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(read_table(spark, sf_dir, "documents"))
+
+
 @register
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

@@ -14,6 +14,7 @@ from tessera.llm.common import count_kind, joined_spans, of_kinds, read_table
 from tessera.llm.decontam import decontaminate
 from tessera.llm.exact_dedup import list_duplicates
 from tessera.llm.jaccard_join import components
+from tessera.llm.page_text import extract_text
 from tessera.llm.pieces import encode_pieces
 from tessera.llm.quality import KEEP_AT, score_documents, train
 from tessera.llm.token_files import read_tokens, write_tokens
@@ -81,6 +82,13 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return list_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+@register
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read_table(spark, sf_dir, "pages")).withColumn(
+        "n_chars", F.length("text").cast("long")
+    )
+
+
 @register
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")

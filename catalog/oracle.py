@@ -783,9 +783,6 @@ def oracle_sql() -> dict[str, str]:
     vector = "'table' AS embedding_model, len(v) AS dimensions, round(list_sum(v), 4) AS total"
     base = "SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS v FROM embeddings"
     labelled = "vec_id IN (SELECT doc_id FROM labels)"
-    sql["vector_upsert"] = f"""SELECT chunk_id, {vector} FROM (SELECT vec_id AS chunk_id,
-      list_transform(embedding::DOUBLE[], lambda x: CASE WHEN {labelled} THEN x * 2 ELSE x END) AS v
-      FROM embeddings)"""
     sql["vector_upsert"] = f"""SELECT chunk_id, {vector} FROM ({base} WHERE NOT {labelled}
       UNION ALL SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 2)
       FROM embeddings WHERE {labelled})"""
@@ -797,6 +794,31 @@ def oracle_sql() -> dict[str, str]:
         AND document_id NOT IN (SELECT vec_id FROM embeddings))""",
         DOCS,
     )
+    missing = """document_id IN (SELECT doc_id FROM labels)
+        AND document_id NOT IN (SELECT vec_id FROM embeddings)"""
+    sql["sync_limit"] = statement(
+        f"""SELECT chunk_id, {vector} FROM ({base} WHERE {labelled} UNION ALL
+      SELECT document_id, v FROM (SELECT document_id, {profile('text')} AS v FROM docs
+      WHERE {missing} ORDER BY document_id LIMIT 100))""",
+        DOCS,
+    )
+    sql["reindex_resume"] = """SELECT 'table' AS embedding_model, c AS chunk_count, v + t AS vector_count,
+      c - v - t AS remaining_count, round((v + t) * 100e0 / c, 3) AS completion_percentage,
+      true AS resume, v AS starting_vector_count, c - v AS starting_remaining_count,
+      t AS target_count, t AS indexed_count, false AS stopped_due_to_time_budget
+      FROM (SELECT c, v, least(100, c - v) AS t FROM (SELECT
+        (SELECT count(DISTINCT doc_id) FROM labels) AS c,
+        (SELECT count(*) FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)) AS v))"""
+    sql["reindex_rebuild"] = statement(
+        f"""SELECT document_id AS chunk_id, 'table' AS embedding_model, len(v) AS embedding_dim,
+      len(v) AS dimensions, round(list_sum(v), 4) AS total
+      FROM (SELECT document_id, {profile('text')} AS v FROM docs
+            WHERE document_id IN (SELECT doc_id FROM labels))""",
+        DOCS,
+    )
+    sql["index_batches"] = """SELECT (i - 1) // 64 + 1 AS batch, count(*) AS chunks
+      FROM (SELECT unnest(range(1, 1 + (SELECT count(DISTINCT doc_id) FROM labels))) AS i)
+      GROUP BY 1"""
     sql["embedding_meta"] = """SELECT doc_id AS chunk_id,
       CASE WHEN vec_id IS NOT NULL THEN 'table' END AS embedding_model,
       len(embedding) AS embedding_dim

@@ -443,6 +443,62 @@ def sync_vectors(spark, sf_dir):
     return vector_view(S.sync_vectors(ch, embedding_table(spark, sf_dir), letter_profile, "table"))
 
 
+SYNC_LIMIT = 100
+
+
+def labelled_chunks(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id"))
+    empty = {"embedding_model": F.lit(None).cast("string"), "embedding_dim": F.lit(None).cast("int")}
+    return first_chunks(spark, sf_dir).join(labels, "chunk_id", "left_semi").withColumns(empty)
+
+
+@register
+def sync_limit(spark, sf_dir):
+    """The first missing vectors by chunk id; stale ones go."""
+    ch, vec = labelled_chunks(spark, sf_dir), embedding_table(spark, sf_dir)
+    return vector_view(S.sync_vectors(ch, vec, letter_profile, "table", SYNC_LIMIT))
+
+
+def reindexed(spark, sf_dir, name, **options):
+    """A reindex of a copy of the embeddings, whose stale vectors belong to unlabelled documents."""
+    folder = f"{shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    embedding_table(spark, sf_dir).write.parquet(folder)
+    return S.reindex_vectors(labelled_chunks(spark, sf_dir), folder, letter_profile, "table", **options), folder
+
+
+def reindex_report(done):
+    return done.report.select(
+        "embedding_model", "chunk_count", "vector_count", "remaining_count", "completion_percentage",
+        "resume", "starting_vector_count", "starting_remaining_count", "target_count", "indexed_count",
+        "stopped_due_to_time_budget",
+    )
+
+
+@register
+def reindex_resume(spark, sf_dir):
+    """Resumes an index that holds stale vectors, up to a limit, in slices."""
+    return reindex_report(reindexed(spark, sf_dir, "resume", limit=SYNC_LIMIT, slice_rows=70)[0])
+
+
+@register
+def reindex_rebuild(spark, sf_dir):
+    """Drops every vector and makes all anew; the chunks with what was written back."""
+    done, folder = reindexed(spark, sf_dir, "rebuild", rebuild=True)
+    vec = vector_view(spark.read.parquet(folder)).select("chunk_id", "dimensions", "total")
+    return done.chunks.join(vec, "chunk_id", "full").select(
+        "chunk_id", "embedding_model", F.col("embedding_dim").cast("long").alias("embedding_dim"),
+        "dimensions", "total",
+    )
+
+
+@register
+def index_batches(spark, sf_dir):
+    """Rows and first position of each batch of an index pass over the labelled documents."""
+    return S.batch_numbers(labelled_chunks(spark, sf_dir), 64).groupBy("batch").agg(
+        F.count("*").alias("chunks")
+    )
+
+
 @register
 def embedding_meta(spark, sf_dir):
     ch = first_chunks(spark, sf_dir).select(

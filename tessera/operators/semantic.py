@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,10 @@ from tessera import schemas
 from tessera.functions import text as T
 from tessera.functions.vectors import nearest_in_batches
 from tessera.operators.lexical import top_k
-from tessera.session import CANDIDATE_ROWS, fits, hint_small
-from tessera.sources.tables import upsert
+from tessera.plans.state import dense_ids
+from tessera.session import CANDIDATE_ROWS, fits, hint_small, materialize
+from tessera.sources.files import root_exists
+from tessera.sources.tables import replace_folder, upsert
 
 # A pandas UDF: text -> array<float>.
 Embedder = Callable[[Column], Column]
@@ -22,6 +25,7 @@ Embedder = Callable[[Column], Column]
 # Query vectors per pass over the chunk vectors (64 MB at 2,048 dimensions).
 SLAB_ROWS = 4096
 SLAB_VALUES = 8_000_000
+EDGE_CELLS = 4096
 
 
 def knn_topk(queries: DataFrame, vec: DataFrame, k: int, model: str | None = None) -> DataFrame:
@@ -61,20 +65,26 @@ def _searcher(spark: SparkSession, ids: np.ndarray, matrix: np.ndarray, k: int):
 def _slabs(queries: DataFrame):
     """Query vectors as (ids, matrix) blocks of bounded size.
 
-    The table is split by a hash of its id when it exceeds one block; each block
-    is checked against the bound before it is read.
+    The table is split by a hash of its rows when it exceeds one block; each block
+    is checked against the bound before it is read.  Rows given twice count once, so
+    that every split gets smaller.
     """
-    q = queries.select("query_id", "query_vector").filter(F.col("query_vector").isNotNull())
-    shape = q.agg(F.count("*").alias("n"), F.max(F.size("query_vector")).alias("width")).first()
+    q = queries.select("query_id", "query_vector").filter(F.col("query_vector").isNotNull()).distinct()
+    size = F.size("query_vector")
+    shape = q.agg(
+        F.count("*").alias("n"), F.max(size).alias("width"), F.min(size).alias("least")
+    ).first()
     if not shape["n"]:
         return
+    if shape["width"] != shape["least"]:
+        raise ValueError("query vectors differ in length")
     rows = max(1, min(SLAB_ROWS, SLAB_VALUES // max(1, shape["width"])))
     pending = [(1, 0)] if shape["n"] <= rows else [(1 << (shape["n"] // rows).bit_length(), None)]
     if pending[0][1] is None:
         pending = [(pending[0][0], i) for i in range(pending[0][0])]
     while pending:
         parts, number = pending.pop()
-        slab = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == number)
+        slab = q.filter(F.pmod(F.xxhash64("query_id", "query_vector"), F.lit(parts)) == number)
         if not fits(slab, rows):
             pending += [(parts * 2, number), (parts * 2, number + parts)]
             continue
@@ -185,34 +195,84 @@ def upsert_vectors(vec: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(vec, new, ["chunk_id", "embedding_model"])
 
 
+def first_ids_edge(ids: DataFrame, limit: int) -> int | None:
+    """The `limit`-th smallest distinct chunk_id, or None when there are no more than that.
+
+    The range of ids is narrowed by counts of `EDGE_CELLS` cells at a time, so that no
+    ids are sorted or gathered.
+    """
+    ids = ids.select("chunk_id").distinct()
+    low, high, n = ids.agg(F.min("chunk_id"), F.max("chunk_id"), F.count("*")).first()
+    if n <= limit:
+        return None
+    left = limit
+    while low < high:
+        width = (high - low) // EDGE_CELLS + 1
+        inside = ids.filter(F.col("chunk_id").between(low, high))
+        cell = F.floor((F.col("chunk_id") - F.lit(low)) / F.lit(width)).alias("cell")
+        for number, count in sorted(inside.groupBy(cell).count().collect()):
+            if left <= count:
+                low = low + number * width
+                high = min(high, low + width - 1)
+                break
+            left -= count
+    return low
+
+
+def first_missing(ch: DataFrame, vec: DataFrame, model: str, limit: int | None) -> DataFrame:
+    """Chunks without a vector of the model, the first `limit` by id.
+
+    The cut is a filter on the id, so that an embedder above it sees just these chunks
+    and they stay spread over the tasks that read them.
+    """
+    missing = missing_chunks(ch, vec, model)
+    if limit is None:
+        return missing
+    ids = materialize(missing_chunks(ch.select("chunk_id"), vec, model))
+    edge = first_ids_edge(ids, limit)
+    return missing if edge is None else missing.filter(F.col("chunk_id") <= edge)
+
+
+def living_vectors(ch: DataFrame, vec: DataFrame, model: str) -> DataFrame:
+    """Vectors without the stale ones of `model`; other models' are left alone."""
+    columns = [f.name for f in schemas.VECTORS]
+    own = F.col("embedding_model").eqNullSafe(F.lit(model))
+    kept = vec.filter(own).join(ch.select("chunk_id"), "chunk_id", "left_semi")
+    return vec.filter(~own).select(columns).unionByName(kept.select(columns))
+
+
 def sync_vectors(
     ch: DataFrame, vec: DataFrame, embedder: Embedder, model: str, limit: int | None = None
 ) -> DataFrame:
     """Drops stale vectors and adds missing ones, the first `limit` by chunk id."""
     if limit is not None and limit <= 0:
         raise ValueError("limit must be positive")
-    missing = missing_chunks(ch, vec, model)
-    if limit is not None:
-        missing = missing.orderBy("chunk_id").limit(limit)
-    current = ch.select("chunk_id").withColumn("embedding_model", F.lit(model))
-    kept = vec.filter(F.col("embedding_model") == model).join(
-        current, ["chunk_id", "embedding_model"], "left_semi"
-    )
-    others = vec.filter(~F.col("embedding_model").eqNullSafe(F.lit(model)))
-    columns = [f.name for f in schemas.VECTORS]
-    return (
-        others.select(columns)
-        .unionByName(kept.select(columns))
-        .unionByName(embed_chunks(missing, embedder, model))
+    todo = first_missing(ch, vec, model, limit)
+    return living_vectors(ch, vec, model).unionByName(embed_chunks(todo, embedder, model))
+
+
+def batch_numbers(ch: DataFrame, batch_rows: int) -> DataFrame:
+    """(chunk_id, batch): batches of `batch_rows` chunks, numbered from 1 without a global sort."""
+    if batch_rows <= 0:
+        raise ValueError("batch_rows must be positive")
+    numbered = dense_ids(ch.select("chunk_id").distinct(), "chunk_id", "position", 0)
+    return numbered.select(
+        "chunk_id", (F.floor(F.col("position") / batch_rows) + 1).cast("long").alias("batch")
     )
 
 
-def with_embedding_meta(ch: DataFrame, vec: DataFrame) -> DataFrame:
-    """Chunks with the model and size of their vector, where they have one."""
-    meta = vec.select(
-        "chunk_id",
-        F.col("embedding_model").alias("new_model"),
-        F.size("embedding").alias("new_dim"),
+def with_embedding_meta(ch: DataFrame, vec: DataFrame, model: str | None = None) -> DataFrame:
+    """Chunks with the model and size of their vector, where they have one.
+
+    Of several models' vectors those of `model` are told, or of the first model by name.
+    """
+    if model is not None:
+        vec = vec.filter(F.col("embedding_model") == model)
+    named = F.struct(F.col("embedding_model").alias("model"), F.size("embedding").alias("dim"))
+    meta = (
+        vec.groupBy("chunk_id")
+        .agg(F.min(named).alias("meta"))
+        .select("chunk_id", F.col("meta.model").alias("new_model"), F.col("meta.dim").alias("new_dim"))
     )
     return (
         ch.join(meta, "chunk_id", "left")
@@ -246,6 +306,12 @@ def vector_status(ch: DataFrame, vec: DataFrame, model: str) -> DataFrame:
     )
 
 
+class Reindexed(NamedTuple):
+    report: DataFrame  # one row: counts before and after, time, throughput
+    chunks: DataFrame  # the chunks with the model and size of their vectors
+    progress: DataFrame  # one row a slice
+
+
 def reindex_vectors(
     ch: DataFrame,
     path: str,
@@ -255,36 +321,52 @@ def reindex_vectors(
     limit: int | None = None,
     until_seconds: float | None = None,
     slice_rows: int = 1_000_000,
-) -> DataFrame:
-    """Resumable indexing of `ch` into the vector folder `path`; one report row.
-
-    Work is done in slices of `slice_rows` chunks.  Each slice is appended as one
-    job, so a run that stops, or is killed, keeps what it finished; the time
-    budget is tested between slices.  `rebuild` starts from an empty folder.
+    on_slice: Callable[[dict], bool] | None = None,
+) -> Reindexed:
+    """Resumable indexing of `ch` into the vector folder `path`.
+
+    Stale vectors of the model go first, so that only vectors of living chunks count.
+    Work is done in slices of `slice_rows` chunks by id.  Each slice is appended as one
+    job, so a run that stops, or is killed, keeps what it finished; the time budget, and
+    `on_slice` with the slice's progress, are asked between slices and can end the run.
+    `rebuild` drops every vector of the model first.
     """
+    if limit is not None and limit <= 0:
+        raise ValueError("limit must be positive")
     spark = ch.sparkSession
     started = time.monotonic()
-    if rebuild:
-        spark.createDataFrame([], schemas.VECTORS).write.mode("overwrite").parquet(path)
 
     def vectors() -> DataFrame:
         return spark.read.schema(schemas.VECTORS).parquet(path)
 
+    if not root_exists(spark, path):
+        spark.createDataFrame([], schemas.VECTORS).write.parquet(path)
+    living = ch.limit(0) if rebuild else ch
+    if not stale_vectors(living, vectors(), model).isEmpty():
+        replace_folder(living_vectors(living, vectors(), model), path)
     before = vector_status(ch, vectors(), model).first()
-    pending = missing_chunks(ch, vectors(), model).count()
+    ids = materialize(missing_chunks(ch.select("chunk_id"), vectors(), model))
+    pending = ids.count()
     target = pending if limit is None else min(limit, pending)
-    done, out_of_time = 0, False
-    while done < target and not out_of_time:
+    done, stopped, out_of_time, rows = 0, False, False, []
+    while done < target and not stopped and not out_of_time:
         size = min(slice_rows, target - done)
-        todo = missing_chunks(ch, vectors(), model)
-        if size < pending - done:
-            todo = todo.orderBy("chunk_id").limit(size)
-        embed_chunks(todo, embedder, model).write.mode("append").parquet(path)
+        # Slices follow each other by id, so the missing ids found at the start serve them all.
+        edge = first_ids_edge(ids, size)
+        todo, now = ch, ids
+        if edge is not None:
+            now, ids = ids.filter(F.col("chunk_id") <= edge), ids.filter(F.col("chunk_id") > edge)
+            todo = ch.filter(F.col("chunk_id") <= edge)
+        embed_chunks(todo, embedder, model, now).write.mode("append").parquet(path)
         done += size
         elapsed = time.monotonic() - started
+        rows.append((len(rows) + 1, size, done, target - done, elapsed))
         out_of_time = until_seconds is not None and elapsed >= until_seconds and done < target
+        if on_slice is not None:
+            told = dict(zip(schemas.PROGRESS.names, rows[-1], strict=True))
+            stopped = not on_slice(told)
     elapsed = time.monotonic() - started
-    return vector_status(ch, vectors(), model).select(
+    report = vector_status(ch, vectors(), model).select(
         "*",
         F.lit(not rebuild).alias("resume"),
         F.lit(before["vector_count"]).alias("starting_vector_count"),
@@ -295,3 +377,8 @@ def reindex_vectors(
         T.throughput(F.lit(done), F.lit(elapsed)).alias("throughput_chunks_per_second"),
         F.lit(out_of_time).alias("stopped_due_to_time_budget"),
     )
+    return Reindexed(
+        report,
+        with_embedding_meta(ch, vectors(), model),
+        spark.createDataFrame(rows, schemas.PROGRESS),
+    )

@@ -126,3 +126,13 @@ JOB_EVENTS = T.StructType(
         T.StructField("payload_json", T.StringType()),
     ]
 )
+
+PROGRESS = T.StructType(
+    [
+        T.StructField("slice", T.LongType()),
+        T.StructField("embedded", T.LongType()),
+        T.StructField("indexed_count", T.LongType()),
+        T.StructField("remaining_count", T.LongType()),
+        T.StructField("elapsed_seconds", T.DoubleType()),
+    ]
+)

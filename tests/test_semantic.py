@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,19 +66,96 @@ def test_sync_drops_stale_and_adds_missing(spark):
         S.sync_vectors(ch, vec, axes, "m", limit=0)
 
 
+def counting(spark):
+    """An embedder that counts the texts it is given."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<float>")
+    def embed(text: pd.Series) -> pd.Series:
+        seen.add(len(text))
+        return pd.Series([[float(len(t)), 1.0, 0.0] for t in text])
+
+    return embed, seen
+
+
 def test_reindex_resumes_in_slices(spark, tmp_path):
-    ch = chunks(spark, [(i, 1, f"widget {i}") for i in range(7)])
+    ch = chunks(spark, [(i, 1, f"widget {i}") for i in range(7)]).withColumns(
+        {"embedding_model": F.lit(None).cast("string"), "embedding_dim": F.lit(None).cast("int")}
+    )
     path = str(tmp_path / "vec")
-    first = S.reindex_vectors(ch, path, axes, "m", rebuild=True, limit=3, slice_rows=2).first()
-    assert (first.indexed_count, first.vector_count, first.remaining_count) == (3, 3, 4)
-    stopped = S.reindex_vectors(ch, path, axes, "m", until_seconds=0.0, slice_rows=2).first()
+    first = S.reindex_vectors(ch, path, axes, "m", rebuild=True, limit=3, slice_rows=2)
+    report = first.report.first()
+    assert (report.indexed_count, report.vector_count, report.remaining_count) == (3, 3, 4)
+    assert [(r.slice, r.embedded, r.indexed_count, r.remaining_count) for r in first.progress.collect()] == [
+        (1, 2, 2, 1), (2, 1, 3, 0),
+    ]
+    assert {r.chunk_id: r.embedding_dim for r in first.chunks.collect()} == {
+        0: 3, 1: 3, 2: 3, 3: None, 4: None, 5: None, 6: None,
+    }
+    stopped = S.reindex_vectors(ch, path, axes, "m", until_seconds=0.0, slice_rows=2).report.first()
     assert (stopped.starting_vector_count, stopped.indexed_count) == (3, 2)
     assert stopped.stopped_due_to_time_budget
-    rest = S.reindex_vectors(ch, path, axes, "m").first()
-    assert (rest.vector_count, rest.completion_percentage) == (7, 100.0)
+    told = []
+    rest = S.reindex_vectors(ch, path, axes, "m", slice_rows=1, on_slice=lambda row: told.append(row)).report.first()
+    assert (rest.vector_count, told[0]["remaining_count"]) == (6, 1)
+    last = S.reindex_vectors(ch, path, axes, "m").report.first()
+    assert (last.vector_count, last.completion_percentage) == (7, 100.0)
     assert spark.read.parquet(path).groupBy("chunk_id").count().filter("count > 1").isEmpty()
 
 
+def test_reindex_drops_stale_vectors_first(spark, tmp_path):
+    ch = chunks(spark, [(i, 1, "x" * i) for i in range(50)])
+    path = str(tmp_path / "vec")
+    old = vectors(spark, [(i, [1, 1, 1]) for i in (3, 4, 99)])
+    old.unionByName(vectors(spark, [(99, [1, 1, 1])], "other")).write.parquet(path)
+    report = S.reindex_vectors(ch, path, axes_of(spark), "m", limit=10).report.first()
+    assert (report.starting_vector_count, report.starting_remaining_count) == (2, 48)
+    assert (report.vector_count, report.remaining_count, report.completion_percentage) == (12, 38, 24.0)
+    assert spark.read.parquet(path).filter("embedding_model = 'other'").count() == 1
+
+
+def axes_of(spark):
+    return counting(spark)[0]
+
+
+@pytest.mark.parametrize("partitions", [1, 5, 23])
+def test_a_limited_sync_embeds_only_what_it_keeps(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rng = np.random.default_rng(partitions)
+        ids = [int(i) for i in rng.choice(10**12, 400, replace=False)]
+        ch = chunks(spark, [(i, 1, "text") for i in ids])
+        embed, seen = counting(spark)
+        got = S.sync_vectors(ch, vectors(spark, [(ids[0], [1, 1, 1])]), embed, "m", limit=60)
+        found = {r.chunk_id for r in got.collect()} - {ids[0]}
+        assert found == set(sorted(set(ids) - {ids[0]})[:60])
+        assert seen.value == 60
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_batches_are_numbered_without_gaps(spark):
+    got = S.batch_numbers(chunks(spark, [(i * 7, 1, "") for i in range(25)]), 10)
+    assert {r.batch: r["count"] for r in got.groupBy("batch").count().collect()} == {1: 10, 2: 10, 3: 5}
+
+
+def test_query_vectors_are_checked(spark):
+    vec = vectors(spark, [(1, [1, 0, 0])])
+    schema = "query_id long, query_vector array<float>"
+    ragged = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [1.0] * 5)], schema)
+    with pytest.raises(ValueError, match="length"):
+        S.knn_topk(ragged, vec, 1)
+
+
+def test_repeated_query_ids_end(spark, monkeypatch):
+    monkeypatch.setattr(S, "SLAB_ROWS", 2)
+    rows = [(1, [1.0, 0.0, 0.0])] * 5 + [(2, [0.0, 1.0, 0.0])] * 3
+    q = spark.createDataFrame(rows, "query_id long, query_vector array<float>")
+    got = S.knn_topk(q, vectors(spark, [(5, [1, 0, 0]), (6, [0, 1, 0])]), 1).collect()
+    assert sorted((r.query_id, r.chunk_id) for r in got) == [(1, 5), (2, 6)]
+
+
 def test_upsert_delete_and_meta(spark):
     vec = vectors(spark, [(1, [1, 1]), (2, [2, 2])])
     new = vectors(spark, [(2, [7, 7]), (3, [3, 3])])
@@ -89,6 +167,9 @@ def test_upsert_delete_and_meta(spark):
     ch = chunks(spark, [(1, 1, "a"), (9, 1, "b")]).withColumns(
         {"embedding_model": F.lit(None).cast("string"), "embedding_dim": F.lit(None).cast("int")}
     )
+    twice = vec.unionByName(vectors(spark, [(1, [1, 1, 1])], "n"))
+    assert [r.embedding_dim for r in S.with_embedding_meta(ch, twice, "n").filter("chunk_id = 1").collect()] == [3]
+    assert S.with_embedding_meta(ch, twice).count() == 2
     meta = {r.chunk_id: (r.embedding_model, r.embedding_dim) for r in S.with_embedding_meta(ch, vec).collect()}
     assert meta == {1: ("m", 2), 9: (None, None)}
 

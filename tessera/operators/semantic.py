@@ -274,10 +274,11 @@ def with_embedding_meta(ch: DataFrame, vec: DataFrame, model: str | None = None)
         .agg(F.min(named).alias("meta"))
         .select("chunk_id", F.col("meta.model").alias("new_model"), F.col("meta.dim").alias("new_dim"))
     )
+    known = [[c] if c in ch.columns else [] for c in ("embedding_model", "embedding_dim")]
     return (
         ch.join(meta, "chunk_id", "left")
-        .withColumn("embedding_model", F.coalesce("new_model", "embedding_model"))
-        .withColumn("embedding_dim", F.coalesce("new_dim", "embedding_dim"))
+        .withColumn("embedding_model", F.coalesce("new_model", *known[0]))
+        .withColumn("embedding_dim", F.coalesce("new_dim", *known[1]))
         .drop("new_model", "new_dim")
     )
 

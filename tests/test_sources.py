@@ -8,20 +8,20 @@ from tessera.sources.html import _parse, extract_html
 from tessera.sources.paged import assemble_pages
 from tessera.sources.tables import duplicate_keys, upsert
 
-PAGE = """<!doctype html><html><head><title> HTML Fixture </title><style>p{}</style></head>
-<body class="page"><header>Site Header</header><nav>Main Navigation</nav>
+PAGE = """<!doctype html><html><head><title> Harbour Times </title><style>p{}</style></head>
+<body class="page"><header>Masthead</header><nav>Sections</nav>
 <div class="site-NAV">More</div><aside id="x">Side</aside><div id="Cookie-box">Accept</div>
-<main><h1>HTML <b>Fixture</b></h1><p>This paragraph <i>should</i> remain &amp; stay.
-<p>Second<br>line<!-- note -->end<section><h2>Section One</h2><p>More text.</section></main>
-<article><p>not this</p></article><footer>Footer Links</footer></body></html>"""
+<main><h1>Harbour <b>Times</b></h1><p>Boats <i>leave</i> at six &amp; nine.
+<p>Second<br>pier<!-- note -->end<section><h2>Fares</h2><p>Return tickets.</section></main>
+<article><p>not this</p></article><footer>Imprint</footer></body></html>"""
 
 
 def test_page_content_is_found_and_chrome_dropped():
     text, title, heading = _parse(PAGE)
-    assert title.strip() == "HTML Fixture" and heading == "HTML Fixture"
+    assert title.strip() == "Harbour Times" and heading == "Harbour Times"
     assert text.split("\n") == [
-        "# HTML Fixture", "This paragraph", "should", "remain & stay.", "Second", "line", "end",
-        "## Section One", "More text.",
+        "# Harbour Times", "Boats", "leave", "at six & nine.", "Second", "pier", "end",
+        "## Fares", "Return tickets.",
     ]
 
 

@@ -6,7 +6,7 @@ every page of the host holds it; tokens that share a vector are an equivalence c
 Vectors are compared by their support and by a sum of page hashes times counts, which tasks
 combine before anything is shuffled, so that no page and no host is gathered anywhere.
 
-The class of the tokens that occur exactly once on every page is the host's template;
+The largest class of tokens that occur once a page, on most pages, is the host's template;
 classes of the elements below nest in it by their paths.  Among its containers the
 deepest one that still encloses `SHARE` of the varying text outside menus, adverts and the
 like is the content slot (lifted to an enclosing article or main).  Text nodes inside the
@@ -176,7 +176,6 @@ def token_counts(pages: DataFrame) -> DataFrame:
             key = xxhash.xxh3_64_intdigest(f"{page_id}\x00{len(page)}")
             count: dict[str, int] = defaultdict(int)
             chars: dict[str, int] = defaultdict(int)
-            count[""] = 1
             for node, text in blocks(page, count):
                 if not node.skipped:
                     count[_digest(node.path, text)] += 1
@@ -184,6 +183,8 @@ def token_counts(pages: DataFrame) -> DataFrame:
                     while path:
                         chars[path] += len(text)
                         path = path.rpartition("/")[0]
+            if count:
+                count[""] = 1
             for token, n in count.items():
                 row = total[host, token]
                 row[0] += 1
@@ -215,14 +216,20 @@ def token_counts(pages: DataFrame) -> DataFrame:
 
 def templates(tokens: DataFrame) -> DataFrame:
     """(host, root, texts): the content slot's path and the template's own texts in it."""
-    whole = tokens.where("token = ''").select("host", F.col("n_pages").alias("total"), "high", "low")
-    in_class = (
-        tokens.where("token <> ''")
-        .join(whole.withColumnsRenamed({"high": "h", "low": "l"}), "host")
-        # The class whose vector is that of the page itself: once on every page.
-        .where((F.col("n_pages") == F.col("total")) & (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")))
-        .where(F.col("total") >= FEW)
+    whole = tokens.where("token = ''").select("host", F.col("n_pages").alias("total")).where(F.col("total") >= FEW)
+    few = whole.limit(HOSTS + 1).count() <= HOSTS
+    vector = ["host", "n_pages", "high", "low"]
+    # Tokens that stand at most once on a page, on most pages of the host.
+    single = (
+        tokens.where((F.col("token") != "") & (F.col("n") == F.col("n_pages")))
+        .join(hint_small(whole, few), "host")
+        .where(2 * F.col("n_pages") > F.col("total"))
     )
+    # The largest equivalence class by elements and support is the template.
+    classes = single.groupBy(*vector).agg(F.count_if(~F.col("token").startswith("#")).alias("elements"))
+    weight = F.struct(F.col("elements") * F.col("n_pages"), *vector[1:])
+    largest = classes.groupBy("host").agg(F.max_by(F.struct(*vector[1:]), weight).alias("v")).select("host", "v.*")
+    in_class = single.join(hint_small(largest, few), vector)
     last = F.regexp_extract("token", r"([^/.]*)(?:\.[^/]*)?$", 1)
     boxes = (
         in_class.where(~F.col("token").startswith("#") & last.isin(*CONTAINERS))

@@ -7,7 +7,7 @@ documents -> chunks -> tokens -> scores like the query it checks.
 from __future__ import annotations
 
 from catalog.corpus import LETTERS
-from catalog.queries import EVIDENCE_BAR, RESPONSES
+from catalog.queries import RESPONSES
 from tessera.functions.text import accent_table
 from tessera.operators import answers as A
 from tessera.operators import evaluation as E
@@ -311,10 +311,15 @@ FINAL = [*RERANKED, *final_ctes("reranked", "final", 8, 2)]
 # Answers --------------------------------------------------------------------
 
 ANSWER_ROWS = [
-    *RERANKED,
-    *final_ctes("reranked", "top5", 5, 2),
-    f"passed AS (SELECT * FROM top5 WHERE reranker_score >= {EVIDENCE_BAR})",
-    *final_ctes("passed", "shown", 5, 2),
+    """q AS (SELECT item_id AS query_id, text AS query_text FROM benchmark UNION ALL
+  SELECT DISTINCT 1000000 + doc_id, 'doc_' || doc_id || '.txt' FROM labels)""",
+    *TOKENS,
+    *BM25,
+    *lexical_ctes(10),
+    """semantic AS (SELECT NULL::BIGINT AS query_id, NULL::BIGINT AS chunk_id,
+  NULL::DOUBLE AS semantic_score, NULL::BIGINT AS semantic_rank WHERE false)""",
+    *RERANKED[len(ARMS):],
+    *final_ctes("reranked", "shown", 5, 2),
     *collapse_ctes("shown", "context"),
 ]
 GATED = [

@@ -779,9 +779,9 @@ def duplicate_texts(spark, sf_dir):
 # Evaluation and diffs -------------------------------------------------------
 
 
-def golden(spark, sf_dir):
+def golden(spark, sf_dir, q=None):
     """Benchmark passages as cases: the passage itself is the relevant text."""
-    q = queries(spark, sf_dir)
+    q = queries(spark, sf_dir) if q is None else q
     name = F.concat(F.lit("doc_"), F.col("query_id").cast("string"), F.lit(".txt"))
     text = F.col("query_text")
     return complete_golden(
@@ -926,8 +926,18 @@ RESPONSES = (
 )
 
 
-# Reranker score from which a row counts as evidence for an answer.
-EVIDENCE_BAR = 0.5
+FIRST_NAME_QUERY = 1_000_000
+
+
+def answer_queries(spark, sf_dir):
+    """The benchmark passages, and the file name of every labelled document."""
+    names = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    return queries(spark, sf_dir).unionByName(
+        names.select(
+            (F.col("doc_id") + FIRST_NAME_QUERY).alias("query_id"),
+            F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("query_text"),
+        )
+    )
 
 
 def responses(q: DataFrame, shift: int = 0) -> DataFrame:
@@ -939,17 +949,18 @@ def responses(q: DataFrame, shift: int = 0) -> DataFrame:
 
 def gated(spark, sf_dir):
     def build():
-        return A.gate_evidence(queries(spark, sf_dir), answer_results(spark, sf_dir))
+        return A.gate_evidence(answer_queries(spark, sf_dir), answer_results(spark, sf_dir))
 
     return saved_run(spark, sf_dir, "gated", build)
 
 
 def answer_results(spark, sf_dir):
-    """Hybrid rows whose reranker score passes a bar: lists of every length, some empty."""
+    """Hybrid ranking without stored vectors: lists of every length, some empty."""
 
     def build():
-        found = hybrid_results(spark, sf_dir, 5)
-        return H.diversify(found.filter(F.col("reranker_score") >= EVIDENCE_BAR), 5)
+        corpus = stored_corpus(spark, sf_dir)
+        found = Backends(corpus.index, corpus.vectors.limit(0), letter_profile, MODEL, word_share)
+        return search(answer_queries(spark, sf_dir), "hybrid", found, 5)
 
     return saved_run(spark, sf_dir, "answer-results", build)
 
@@ -980,7 +991,7 @@ def build_prompts(spark, sf_dir):
 
 def answered(spark, sf_dir, shift: int = 0):
     def build():
-        return A.validate_answers(gated(spark, sf_dir), responses(queries(spark, sf_dir), shift))
+        return A.validate_answers(gated(spark, sf_dir), responses(answer_queries(spark, sf_dir), shift))
 
     return saved_run(spark, sf_dir, f"answers-{shift}", build)
 
@@ -1002,21 +1013,23 @@ def validate_answers(spark, sf_dir):
 
 @register
 def answer_eval(spark, sf_dir):
-    rows = E.evaluate_answers(answered(spark, sf_dir), golden(spark, sf_dir))
+    rows = E.evaluate_answers(
+        answered(spark, sf_dir), golden(spark, sf_dir, answer_queries(spark, sf_dir))
+    )
     return rows.select(
         "case_id", "answer_declined", joined("expectation_failures").alias("failures"), "passed"
     )
 
 
 def snapshot_answers(spark, sf_dir, shift: int = 0):
-    q = queries(spark, sf_dir)
+    q = answer_queries(spark, sf_dir)
     snapshots = A.retrieval_snapshots(q, answer_results(spark, sf_dir))
     return answered(spark, sf_dir, shift).join(snapshots, "query_id")
 
 
 @register
 def snapshot_ids(spark, sf_dir):
-    q = queries(spark, sf_dir)
+    q = answer_queries(spark, sf_dir)
     snapshots = A.retrieval_snapshots(q, answer_results(spark, sf_dir))
     return snapshots.withColumn("result_count", F.col("result_count").cast("long"))
 
@@ -1028,7 +1041,9 @@ def answer_diff(spark, sf_dir):
 
 
 def answer_eval_rows(spark, sf_dir, shift: int = 0):
-    rows = E.evaluate_answers(answered(spark, sf_dir, shift), golden(spark, sf_dir))
+    rows = E.evaluate_answers(
+        answered(spark, sf_dir, shift), golden(spark, sf_dir, answer_queries(spark, sf_dir))
+    )
     first = F.get("used_chunks", F.lit(0))
     return rows.withColumn("top_result_source", first["source_name"])
 

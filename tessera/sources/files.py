@@ -20,6 +20,7 @@ DOC_TYPES = {
     ".pdf": "pdf",
 }
 # ----------------------------------------------------------------------------
+TOO_LARGE = "FileTooLarge: the file is above spark.sql.sources.binaryFile.maxLength"
 
 
 def extension(path: Column) -> Column:
@@ -52,7 +53,10 @@ def scan_files(
 ) -> DataFrame:
     """Files below the roots with a wanted extension, each path once.
 
-    Roots that do not exist are skipped; none at all gives an empty table.
+    Roots that do not exist are skipped; none at all gives an empty table.  Other files
+    are left out by name when the folders are listed, so that their contents are never
+    read; a wanted file above the reader's size limit is a row without content.  Names
+    that start with `_` or `.` are hidden to Spark's listing.
     """
     wanted = sorted({e.lower() for e in (extensions or DOC_TYPES)})
     present = sorted({r.rstrip("/") or "/" for r in roots if root_exists(spark, r)})
@@ -64,10 +68,31 @@ def scan_files(
     ]
     if not outer:
         return spark.createDataFrame([], schemas.FILES)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(outer)
-    return files.filter(extension(F.col("path")).isin(wanted)).withColumn(
-        "path", plain_path(F.col("path"))
+    reader = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", name_glob(wanted))
     )
+    files = reader.load(outer).filter(extension(F.col("path")).isin(wanted))
+    # The comparison of lengths reaches the reader, which then opens no larger file.
+    limit = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    large = files.filter(F.col("length") > limit).select("path", "modificationTime", "length")
+    return (
+        files.filter(F.col("length") <= limit)
+        .unionByName(large.withColumn("content", F.lit(None).cast("binary")))
+        .withColumn("path", plain_path(F.col("path")))
+    )
+
+
+def name_glob(extensions: Iterable[str]) -> str:
+    """Glob of names that end in one of the extensions, in any case."""
+    either = ("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions)
+    return "*{" + ",".join(either) + "}"
+
+
+def unread_hash() -> Column:
+    """Stands in for the fingerprint of a file that is too large to be read."""
+    return F.concat(F.lit("length:"), F.col("length").cast("string"))
 
 
 def describe_files(files: DataFrame) -> DataFrame:
@@ -75,7 +100,7 @@ def describe_files(files: DataFrame) -> DataFrame:
     return files.select(
         F.col("path").alias("source_path"),
         doc_type(F.col("path")).alias("doc_type"),
-        T.content_hash(F.col("content")).alias("content_hash"),
+        F.coalesce(T.content_hash(F.col("content")), unread_hash()).alias("content_hash"),
         F.date_trunc("second", F.col("modificationTime")).alias("modified_at"),
         "content",
     )
@@ -84,11 +109,12 @@ def describe_files(files: DataFrame) -> DataFrame:
 def decode_text(doc: DataFrame) -> DataFrame:
     """Adds `raw` text, `parse_status` and `parse_error`; bad UTF-8 fails the row only."""
     raw = F.col("content").cast("string")
-    valid = F.is_valid_utf8(raw)
+    valid = F.coalesce(F.is_valid_utf8(raw), F.lit(False))
     return (
         doc.withColumn("parse_status", F.when(valid, "parsed").otherwise("failed"))
         .withColumn(
-            "parse_error", F.when(~valid, "UnicodeDecodeError: content is not valid UTF-8")
+            "parse_error",
+            F.when(raw.isNull(), TOO_LARGE).when(~valid, "UnicodeDecodeError: content is not valid UTF-8"),
         )
         .withColumn("raw", F.when(valid, raw))
     )

@@ -4,6 +4,7 @@ import pytest
 
 from tessera.operators import runlog as R
 from tessera.sources.artifacts import read_run_log
+from tessera.sources.files import TOO_LARGE, decode_text, describe_files, scan_files
 from tessera.sources.html import _parse, extract_html
 from tessera.sources.paged import assemble_pages
 from tessera.sources.tables import duplicate_keys, upsert
@@ -42,6 +43,22 @@ def test_odd_pages(html, want):
     assert _parse(html)[0] == want
 
 
+def test_scan_reads_wanted_contents_only(spark, tmp_path):
+    for name, size in (("a.TXT", 5), ("b.md", 900), ("c.bin", 5_000), ("d.Html", 7), ("e.txt.zip", 9), ("txt", 3)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    key = "spark.sql.sources.binaryFile.maxLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 100)
+    try:
+        rows = decode_text(describe_files(scan_files(spark, [str(tmp_path)]))).collect()
+    finally:
+        spark.conf.set(key, before)
+    got = {r.source_path.rsplit("/", 1)[1]: (r.parse_status, r.content_hash[:7], r.parse_error) for r in rows}
+    assert set(got) == {"a.TXT", "b.md", "d.Html"}
+    assert got["b.md"] == ("failed", "length:", TOO_LARGE)
+    assert {got[n][0] for n in ("a.TXT", "d.Html")} == {"parsed"}
+
+
 def test_titles_fall_back(spark):
     pages = spark.createDataFrame(
         [

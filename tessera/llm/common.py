@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SLICE_ROWS = 2_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -27,15 +28,14 @@ def ascii_lower(text: Column) -> Column:
 
 
 def over_batches(
-    df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
+    df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
 ) -> DataFrame:
-    """Applies `work` to each Arrow batch: a narrow step, one batch in memory at a time."""
+    """Applies `work` to slices of each Arrow batch: a narrow step with few rows in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = work(batch)
-            if out is not None:
-                yield out
+            for begin in range(0, batch.num_rows, SLICE_ROWS):
+                yield work(batch.slice(begin, SLICE_ROWS))
 
     return df.mapInArrow(run, schema)
 

@@ -815,7 +815,7 @@ def lexical_eval(spark, sf_dir, k):
 
 def semantic_eval(spark, sf_dir, k):
     found = mode_results(spark, sf_dir, "semantic", k)
-    return E.evaluate_retrieval(found, golden(spark, sf_dir), k, "lexical")
+    return E.evaluate_retrieval(found, golden(spark, sf_dir), k, "semantic")
 
 
 @register
@@ -1065,16 +1065,27 @@ def answer_eval_diff(spark, sf_dir):
     )
 
 
-@register
-def regression_gate(spark, sf_dir):
+def gate_checks(spark, sf_dir):
+    """Runs of two modes, which cannot be compared; equal answers; answers that changed."""
     before, before_report = lexical_eval(spark, sf_dir, 5)
     after, after_report = semantic_eval(spark, sf_dir, 5)
-    same = snapshot_answers(spark, sf_dir)
-    checks = [
-        D.check_cases("eval-diff", D.diff_eval(before, after), before_report, after_report),
+    same, other = snapshot_answers(spark, sf_dir), snapshot_answers(spark, sf_dir, 3)
+    return [
         D.check_answers(D.diff_answers(same, same)),
+        D.check_answers(D.diff_answers(same, other)),
+        D.check_cases("eval-diff", D.diff_eval(before, after), before_report, after_report),
     ]
-    return D.regression_gate(checks)
+
+
+@register
+def regression_gate(spark, sf_dir):
+    return D.regression_gate(gate_checks(spark, sf_dir))
+
+
+@register
+def regression_gate_fail_fast(spark, sf_dir):
+    """Stops at the first check, the modes; the answers are skipped."""
+    return D.regression_gate(gate_checks(spark, sf_dir), fail_fast=True)
 
 
 # Run log and events ---------------------------------------------------------

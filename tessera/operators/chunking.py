@@ -24,8 +24,8 @@ PAGED_TYPE = "pdf"
 BLOCK_TILE = rf"{T.WS}*+{T.NON_WS}(?:[^\n]++|\n(?!{T.WS}*\n))*+"
 HEADING = rf"\A{T.WS}*#{{1,6}}{T.BLANK}+({T.NON_WS}{T.NON_BREAK}*)"
 
-# Ids built from (document_id, ordinal): 2^20 chunks per document, 2^43 documents.
-CHUNK_ORDINALS = 1 << 20
+# Ids built from (document_id, ordinal): 2^28 chunks over a document's life, 2^35 documents.
+CHUNK_ORDINALS = 1 << 28
 
 _DRAFT = (
     "struct<start:int,end:int,tokens:int,section:string,page:int,"

@@ -53,10 +53,9 @@ def reconcile_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
         F.col("embedding_dim").alias("old_dim"),
         F.lit(False).alias("is_new"),
     )
-    now = new.drop("chunk_id", "embedding_model", "embedding_dim").withColumn(
-        "is_new", F.lit(True)
-    )
-    # One shuffle by document serves the matching and the numbering below.
+    now = new.select("document_id", "chunk_index", "stable_id", F.lit(True).alias("is_new"))
+    # One shuffle of narrow rows by document serves the matching and the numbering below;
+    # texts join at the end.
     both = now.unionByName(before, allowMissingColumns=True).repartition("document_id")
     same_id = Window.partitionBy("document_id", "stable_id")
     matched = both.select(
@@ -78,7 +77,7 @@ def reconcile_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
         Window.partitionBy("document_id", "outcome").orderBy("chunk_index", "stable_id")
     )
     fresh = chunk_id_of(F.col("document_id"), F.col("last_used") + nth)
-    return (
+    numbered = (
         matched.withColumn("last_used", last_used)
         .withColumn("outcome", outcome)
         .filter(F.col("is_new") | ~F.col("still_there"))
@@ -89,17 +88,16 @@ def reconcile_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
             "document_id",
             "chunk_index",
             "stable_id",
-            "section_title",
-            "page_number",
-            "start_offset",
-            "end_offset",
-            "text",
-            "token_estimate",
             F.col("matched_old_model").alias("embedding_model"),
             F.col("matched_old_dim").alias("embedding_dim"),
             "outcome",
         )
     )
+    details = ["section_title", "page_number", "start_offset", "end_offset", "text", "token_estimate"]
+    place = ["document_id", "chunk_index"]
+    return numbered.join(new.select(*place, *details), place, "left").select(
+        "chunk_id", *place, "stable_id", *details, "embedding_model", "embedding_dim", "outcome"
+    )
 
 
 def chunk_counts(reconciled: DataFrame) -> DataFrame:

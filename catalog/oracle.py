@@ -740,13 +740,10 @@ def oracle_sql() -> dict[str, str]:
     sql["corpus_stats"] = statement(
         "SELECT total AS chunk_count, round(average, 6) AS average_tokens FROM corpus", *TOKENS
     )
-    changed = DOCS.replace(
-        "SELECT doc_id AS document_id", "SELECT doc_id AS document_id"
-    )
     updated = """docs AS (SELECT * REPLACE (CASE WHEN lang = 'fr' THEN 'Update notice ' || text
       ELSE text END AS text) FROM old_docs)"""
     sql["index_refresh"] = statement(
-        vocabulary, changed.replace("docs AS", "old_docs AS", 1), updated, *TOKENS[1:]
+        vocabulary, DOCS.replace("docs AS", "old_docs AS", 1), updated, *TOKENS[1:]
     )
     sql["bm25_topk"] = statement(
         """SELECT query_id, chunk_id, round(score, 6) AS score, candidate_rank
@@ -923,6 +920,13 @@ def oracle_sql() -> dict[str, str]:
       count(*) FILTER (lang = 'fr') AS docs_added, count(*) FILTER (lang = 'de') AS docs_updated,
       count(*) FILTER (lang = 'en') AS docs_unchanged, count(*) FILTER (lang = 'es') AS docs_deleted,
       0 AS docs_failed FROM documents"""
+    longer = "CASE WHEN lang = 'de' THEN text || ' One more sentence.' ELSE text END"
+    after = (
+        DOCS.replace(f"{PATH} AS source_path", f"'/corpus/' || {PATH} AS source_path")
+        .replace(normalize("text"), normalize(f"({longer})"))
+        .replace("FROM documents)", "FROM documents WHERE lang <> 'es')")
+    )
+    sql["ingest_index"] = statement(vocabulary, after, *TOKENS[1:])
     sql["event_stream"] = "SELECT event_id, user_id, event_type, value FROM events"
     sql["duplicate_texts"] = """SELECT sha256(text) AS content_hash, count(*) AS count FROM documents
       GROUP BY text HAVING count(*) > 1"""

@@ -32,7 +32,12 @@ from tessera.operators import lexical as L
 from tessera.operators import runlog as R
 from tessera.operators import semantic as S
 from tessera.operators.chunking import chunk_documents
-from tessera.operators.index import build_index, describe_chunks, refresh_index
+from tessera.operators.index import (
+    build_index,
+    describe_chunks,
+    materialize_index,
+    refresh_index,
+)
 from tessera.plans import reconcile as P
 from tessera.plans.ingest import ingest_files
 from tessera.plans.search import Backends, ask, inspect, search
@@ -734,8 +739,13 @@ def second_ingest(spark, sf_dir, part: str) -> DataFrame:
     def build():
         first = ingest_files(text_files(spark, sf_dir, "fr", False), ["/corpus"], empty_state(spark))
         state = CorpusState(*(materialize(getattr(first.state, f.name)) for f in fields(CorpusState)))
-        second = ingest_files(text_files(spark, sf_dir, "es", True), ["/corpus"], state)
-        return getattr(second, part)
+        index = None
+        if part == "index":
+            index = materialize_index(build_index(state.chunks, state.documents))
+        second = ingest_files(
+            text_files(spark, sf_dir, "es", True), ["/corpus"], state, index=index
+        )
+        return second.index.vocabulary if part == "index" else getattr(second, part)
 
     return saved_run(spark, sf_dir, f"ingest-{part}", build)
 
@@ -757,6 +767,12 @@ def ingest_documents(spark, sf_dir):
     )
 
 
+@register
+def ingest_index(spark, sf_dir):
+    """Vocabulary of the index that the second ingest brought up to date."""
+    return second_ingest(spark, sf_dir, "index")
+
+
 @register
 def event_stream(spark, sf_dir):
     """The event table delivered by a stream that stops when all is read."""

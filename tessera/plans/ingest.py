@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera import schemas
 from tessera.functions import text as T
 from tessera.operators.chunking import OVERLAP_TOKENS, PAGED_TYPE, TARGET_TOKENS, chunk_documents
+from tessera.operators.index import LexicalIndex, build_index, describe_chunks, refresh_index
 from tessera.operators.semantic import (
     Embedder,
     check_embedded,
@@ -42,6 +43,7 @@ class IngestResult:
     documents: DataFrame  # per document: change, status, chunk counts
     deleted: DataFrame  # source_path, document_id
     pending: DataFrame  # inserted chunks, those an embedder has to see
+    index: LexicalIndex | None = None  # the index given, brought up to date
 
 
 def ingest(
@@ -55,16 +57,21 @@ def ingest(
     now: datetime | None = None,
     target_tokens: int = TARGET_TOKENS,
     overlap_tokens: int = OVERLAP_TOKENS,
+    index: LexicalIndex | None = None,
 ) -> IngestResult:
     """Files below `roots` against `state`; without an embedder no vectors are made.
 
+    A given `index` is refreshed for the documents that changed, or built anew when it does
+    not hold as many chunks as the state.
+
     `pages` (source_path, page_number, text[, meta_title]) supplies the text of
     paged files.  A dry run returns the same counts and the old state.
     """
     roots = [r.rstrip("/") or "/" for r in roots]
     files = scan_files(spark, roots)
     return ingest_files(
-        files, roots, state, embedder, model, pages, dry_run, now, target_tokens, overlap_tokens
+        files, roots, state, embedder, model, pages, dry_run, now, target_tokens, overlap_tokens,
+        index=index,
     )
 
 
@@ -80,6 +87,7 @@ def ingest_files(
     target_tokens: int = TARGET_TOKENS,
     overlap_tokens: int = OVERLAP_TOKENS,
     detect_deletions: bool = True,
+    index: LexicalIndex | None = None,
 ) -> IngestResult:
     spark = files.sparkSession
     now = now or datetime.now(timezone.utc).replace(microsecond=0, tzinfo=None)
@@ -120,7 +128,7 @@ def ingest_files(
     report = _per_document(seen, reconciled, state.chunks, embedder is not None)
     run = run_summary(seen, deleted)
     if dry_run:
-        return IngestResult(state, run, report, deleted, pending)
+        return IngestResult(state, run, report, deleted, pending, index)
 
     gone = deleted.select("document_id")
     kept = cascade_delete(
@@ -153,7 +161,13 @@ def ingest_files(
         kept_vectors,
         state.runs.unionByName(run_row),
     )
-    return IngestResult(new_state, run, report, deleted, pending)
+    if index is not None and index.chunks.count() != state.chunks.count():
+        index = build_index(new_state.chunks, new_state.documents)
+    elif index is not None:
+        # Chunks of changed documents only, described by the documents' new titles.
+        changed = describe_chunks(preserved.unionByName(inserted), documents)
+        index = refresh_index(index, changed, gone.unionByName(touched))
+    return IngestResult(new_state, run, report, deleted, pending, index)
 
 
 def _numbered(changes: DataFrame, state: CorpusState) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from tessera.operators.answers import (
 )
 from tessera.operators.index import LexicalIndex
 from tessera.operators.lexical import lexical_search
-from tessera.operators.semantic import Embedder, semantic_search
+from tessera.operators.semantic import Embedder, semantic_search, sync_vectors
 from tessera.session import materialize
 
 MODES = ("lexical", "semantic", "hybrid")
@@ -44,8 +44,13 @@ def search(
     backends: Backends,
     limit: int = H.RESULT_LIMIT,
     max_per_document: int = H.MAX_PER_DOCUMENT,
+    sync: bool = False,
 ) -> DataFrame:
-    """Ranked rows of one mode; without stored tables the result is empty."""
+    """Ranked rows of one mode; without stored tables the result is empty.
+
+    With `sync`, vectors are first brought up to date with the index's chunks, for this
+    search only.
+    """
     if mode not in MODES:
         raise ValueError(f"unsupported mode: {mode}")
     needs_vectors = mode != "lexical"
@@ -53,6 +58,11 @@ def search(
         return q.sparkSession.createDataFrame([], schemas.RANKED)
     if needs_vectors and backends.embedder is None:
         raise ValueError(f"{mode} search needs an embedder")
+    if needs_vectors and sync:
+        fresh = sync_vectors(
+            backends.index.chunks, backends.vectors, backends.embedder, backends.model
+        )
+        backends = replace(backends, vectors=materialize(fresh))
     if mode == "lexical":
         return lexical_search(q, backends.index, limit)
     if mode == "semantic":

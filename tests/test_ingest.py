@@ -163,6 +163,38 @@ def test_dense_ids_are_gapless_and_stable(spark):
     assert [r.n for r in a] == list(range(10, 510)) and a == b
 
 
+def test_ingest_keeps_the_index(spark, tmp_path):
+    root = tmp_path / "hut"
+    write(root, {"a.md": "# Alpha\n\nrope and axe\n", "b.txt": "tea and bread\n"})
+    first = ingest(spark, [str(root)], empty_state(spark))
+    index = build_index(first.state.chunks, first.state.documents)
+    write(root, {"a.md": "# Alpha\n\nrope and lamp\n", "c.txt": "snow\n"})
+    os.remove(root / "b.txt")
+    second = ingest(spark, [str(root)], first.state, index=index)
+    fresh = build_index(second.state.chunks, second.state.documents)
+
+    def words(i):
+        return {r.token: r.chunk_count for r in i.vocabulary.collect()}
+
+    assert words(second.index) == words(fresh) and "tea" not in words(fresh)
+    assert second.index.stats.first() == fresh.stats.first()
+    assert second.index.postings.count() == fresh.postings.count()
+    q = spark.createDataFrame([(1, "lamp"), (2, "bread")], "query_id long, query_text string")
+    assert [r.query_id for r in search(q, "lexical", Backends(second.index)).collect()] == [1]
+    # An index that misses chunks is built anew.
+    empty = build_index(first.state.chunks.limit(0), first.state.documents)
+    assert words(ingest(spark, [str(root)], first.state, index=empty).index) == words(fresh)
+
+
+def test_search_can_sync_first(spark, tmp_path):
+    write(tmp_path / "s", {"a.txt": "widget\n"})
+    state = ingest(spark, [str(tmp_path / "s")], empty_state(spark)).state
+    backends = Backends(build_index(state.chunks, state.documents), state.vectors, axes, "m")
+    q = spark.createDataFrame([(1, "widget")], "query_id long, query_text string")
+    assert search(q, "semantic", backends).count() == 0
+    assert search(q, "semantic", backends, sync=True).count() == 1
+
+
 # Golden corpus: a few notes of a mountain hut and queries on them, end to end --------------
 
 NOTES = {

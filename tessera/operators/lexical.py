@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.index import LexicalIndex, field_weight, token_bucket
-from tessera.session import BROADCAST_ROWS, CANDIDATE_ROWS, hint_small
+from tessera.session import BROADCAST_ROWS, CANDIDATE_ROWS, hint_small, materialize
 
 # --- fixed values -----------------------------------------------------------
 EXACT_TITLE_BONUS = 25.0
@@ -139,7 +139,9 @@ def idf(chunk_count: Column, matching: Column) -> Column:
     return F.when(value <= 0, F.lit(IDF_FLOOR)).otherwise(value)
 
 
-def phrase_counts(index: LexicalIndex, phrases: DataFrame, shape: QueryShape) -> DataFrame:
+def phrase_counts(
+    index: LexicalIndex, phrases: DataFrame, shape: QueryShape, hits: DataFrame | None = None
+) -> DataFrame:
     """(phrase, chunk_count): single words from the vocabulary, others by their hits."""
     single = phrases.withColumnRenamed("phrase", "token")
     counts = index.vocabulary.join(hint_small(single, shape.small), "token").select(
@@ -147,17 +149,20 @@ def phrase_counts(index: LexicalIndex, phrases: DataFrame, shape: QueryShape) ->
     )
     if not shape.phrases:
         return counts
-    several = phrases.filter(F.contains("phrase", F.lit(" ")))
-    return counts.unionByName(
-        phrase_hits(index, several, shape).groupBy("phrase").agg(F.count("*").alias("chunk_count"))
-    )
+    if hits is None:
+        hits = phrase_hits(index, phrases, shape)
+    several = hits.filter(F.contains("phrase", F.lit(" ")))
+    return counts.unionByName(several.groupBy("phrase").agg(F.count("*").alias("chunk_count")))
 
 
 def bm25_scores(index: LexicalIndex, clauses: DataFrame, shape: QueryShape) -> DataFrame:
     """(query_id, chunk_id, score) of every chunk that holds any clause."""
     phrases = clauses.select("phrase").distinct()
     hits = phrase_hits(index, phrases, shape)
-    counts = phrase_counts(index, phrases, shape)
+    if shape.phrases:
+        # Counted and scored: found once, then read from the stored rows.
+        hits = materialize(hits)
+    counts = phrase_counts(index, phrases, shape, hits)
     total = index.stats.select("chunk_count").scalar()
     average = index.stats.select("average_tokens").scalar()
     weighted = clauses.join(counts, "phrase").select(

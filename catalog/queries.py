@@ -42,7 +42,7 @@ from tessera.plans import reconcile as P
 from tessera.plans.ingest import ingest_files
 from tessera.plans.search import Backends, ask, inspect, search
 from tessera.plans.state import CorpusState, empty_state
-from tessera.session import materialize, shared_folder, spread
+from tessera.session import intermediate_folder, materialize, spread
 from tessera.sources.artifacts import complete_golden
 from tessera.sources.html import extract_html
 from tessera.sources.paged import assemble_pages
@@ -466,7 +466,7 @@ def sync_limit(spark, sf_dir):
 
 def reindexed(spark, sf_dir, name, **options):
     """A reindex of a copy of the embeddings, whose stale vectors belong to unlabelled documents."""
-    folder = f"{shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    folder = f"{intermediate_folder(spark)}/{name}-{uuid.uuid4().hex}"
     embedding_table(spark, sf_dir).write.parquet(folder)
     return S.reindex_vectors(labelled_chunks(spark, sf_dir), folder, letter_profile, "table", **options), folder
 
@@ -776,7 +776,7 @@ def ingest_index(spark, sf_dir):
 @register
 def event_stream(spark, sf_dir):
     """The event table delivered by a stream that stops when all is read."""
-    folder = f"{shared_folder(spark)}/tessera/{uuid.uuid4().hex}"
+    folder = f"{intermediate_folder(spark)}/{uuid.uuid4().hex}"
     # A glob: the stream source takes folders and patterns, not one file.
     path = f"{sf_dir}/events*.parquet"
     events = stream_events(spark, path, spark.read.parquet(path).schema)

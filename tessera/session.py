@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -45,27 +47,48 @@ def hint_small(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the one the cluster names, if it names one."""
+    """Folder for intermediate tables: the one the cluster names, if it names one.
+
+    A local session without one gets a temporary folder that goes when Python ends.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, _LOCAL_FOLDERS[application], ignore_errors=True)
+    return _LOCAL_FOLDERS[application]
+
+
+def intermediate_folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_folder(spark)}/tessera/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Writes the table once to the shared folder and reads it back.
 
     Cuts lineage, so later stages and lost executors re-read files instead of
-    recomputing, and keeps the result columnar so readers prune columns.
+    recomputing, and keeps the result columnar so readers prune columns.  The files
+    stay until `drop_intermediate`.
     """
-    path = f"{shared_folder(df.sparkSession)}/tessera/{uuid.uuid4().hex}"
+    path = f"{intermediate_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     if partition_by is not None:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables, once their readers are done."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(intermediate_folder(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -3,19 +3,14 @@ from __future__ import annotations
 from tessera import session as S
 
 
-def test_intermediate_tables_can_be_dropped(spark, tmp_path):
+def test_intermediate_tables_can_be_dropped(spark, tmp_path, monkeypatch):
     before = spark.conf.get("spark.checkpoint.dir", None)
     S.materialize(spark.range(5).toDF("id"))
     assert spark.conf.get("spark.checkpoint.dir", None) == before
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        stored = S.materialize(spark.range(5).toDF("id"))
-        assert stored.count() == 5 and stored.inputFiles()[0].startswith(f"file://{tmp_path}")
-        own = tmp_path / "tessera" / spark.sparkContext.applicationId
-        assert any(own.iterdir())
-        S.drop_intermediate(spark)
-        assert not own.exists()
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-        if before is not None:
-            spark.conf.set("spark.checkpoint.dir", before)
+    monkeypatch.setattr(S, "shared_folder", lambda _: f"file://{tmp_path}")
+    stored = S.materialize(spark.range(5).toDF("id"))
+    assert stored.count() == 5 and str(tmp_path) in stored.inputFiles()[0]
+    own = tmp_path / "tessera" / spark.sparkContext.applicationId
+    assert any(own.iterdir())
+    S.drop_intermediate(spark)
+    assert not own.exists()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_ROWS = 2_000
+SLICE_ROWS = 1_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -27,15 +27,20 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, for work that makes Python objects of them."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(begin, SLICE_ROWS)
+
+
 def over_batches(
     df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
 ) -> DataFrame:
     """Applies `work` to slices of each Arrow batch: a narrow step with few rows in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, SLICE_ROWS):
-                yield work(batch.slice(begin, SLICE_ROWS))
+        yield from map(work, sliced(batches))
 
     return df.mapInArrow(run, schema)
 

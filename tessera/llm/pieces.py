@@ -26,7 +26,7 @@ from tessera.llm.common import over_batches, text_or_empty
 from tessera.llm.wordtable import WordTable, encode_texts
 
 MARK = "▁"
-TABLE_WORDS = 400_000
+TABLE_WORDS = 100_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 _ENCODERS: dict[str, PieceEncoder] = {}
 

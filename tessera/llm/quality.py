@@ -41,7 +41,7 @@ KEEP_AT = 0.5  # least P(grade >= 2) of a document that stays
 L1 = 5e-4
 STEPS = 200
 RATE = 0.05
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 100_000
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+")
 
 

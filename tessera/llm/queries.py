@@ -19,7 +19,7 @@ from tessera.llm.pieces import encode_pieces
 from tessera.llm.quality import KEEP_AT, score_documents, train
 from tessera.llm.token_files import read_tokens, write_tokens
 from tessera.llm.urls import canonical_url, judge_urls
-from tessera.session import shared_folder
+from tessera.session import intermediate_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -55,7 +55,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_folder(spark)}/tessera/tokens-{uuid.uuid4().hex}"
+    folder = f"{intermediate_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path(WORD_BPE), END_ID)
     return read_tokens(spark, folder)
 

@@ -42,7 +42,6 @@ from tessera.session import hint_small, materialize
 SHARE = 0.8
 FEW, MANY = 3, 20
 HOSTS = 100_000  # hosts up to which the templates (a path each) are broadcast
-PATH_CHARS = 400
 
 RAW = ("script", "style", "textarea", "title", "noscript", "template")
 SKIPPED = frozenset(
@@ -81,11 +80,12 @@ class Node:
 
 def _open(tag: str, attributes: str, parent: Node) -> Node:
     names = " ".join("".join(m) for m in _NAMES.findall(attributes)) if attributes else ""
-    label = f"{tag}.{_DIGITS.sub('#', names.strip())}" if names else tag
+    # A slash in a name (w-1/2) would read as one more element of the path.
+    label = f"{tag}.{_DIGITS.sub('#', names.strip()).replace('/', '|')}" if names else tag
     in_article = parent.tag in ("article", "main") or parent.header
     header = tag == "header" and in_article or parent.header
     skipped = parent.skipped or (tag in SKIPPED and not header) or bool(names and _CHROME.search(names))
-    return Node(tag, f"{parent.path}/{label}"[-PATH_CHARS:], skipped, header)
+    return Node(tag, f"{parent.path}/{label}", skipped, header)
 
 
 def parse(page: str) -> Iterator[tuple]:

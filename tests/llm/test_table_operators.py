@@ -269,6 +269,24 @@ def test_page_text_of_other_layouts(spark):
     assert main_text("<div><p>a<p>b</div>", [], set()) == "a\nb"
 
 
+def test_page_text_of_deep_pages_with_long_class_lists(spark):
+    names = "flex w-1/2 min-h-screen items-center justify-between text-gray-700 px-4 py-2 rounded-lg shadow-md"
+    tags = ["html", "body", "div", "main", "div", "article", "section", "div"]
+    opened = "".join(f"<{t} class='{names}'>" for t in tags)
+    closed = "".join(f"</{t}>" for t in reversed(tags))
+
+    def page(i):
+        parts = (f"<p class='{names}'>part {i} {k} {'word ' * 20}</p>" for k in range(3))
+        return f"{opened}{''.join(parts)}<blockquote class='{names}'><p>quoted {i}</p></blockquote>{closed}"
+
+    rows = [(i, f"http://deep.test/{i}", page(i)) for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_text(pages).collect()}
+    assert got == {
+        i: "\n".join([*(f"part {i} {k}" + " word" * 20 for k in range(3)), f"quoted {i}"]) for i in range(6)
+    }
+
+
 # Quality
 
 

@@ -1,23 +1,22 @@
 """Main text of web pages by template deduction over the pages of a host.
 
 A page is cut into tokens: each structural element by its path of tags and classes, and
-each text node by its path and content.  The occurrence vector of a token says how often
-every page of the host holds it; tokens that share a vector are an equivalence class.
-Vectors are compared by their support and by a sum of page hashes times counts, which tasks
-combine before anything is shuffled, so that no page and no host is gathered anywhere.
-
-The largest class of tokens that occur once a page, on most pages, is the host's template;
-classes of the elements below nest in it by their paths.  Among its containers the
-deepest one that still encloses `SHARE` of the varying text outside menus, adverts and the
-like is the content slot (lifted to an enclosing article or main).  Text nodes inside the
-slot that belong to the template class themselves are template, on hosts of `MANY` pages or
-more.  A host of fewer than `FEW` pages, or a page without its host's slot, uses the
-template of all hosts together, and then the page's own best container.
-
-From the slot come the blocks in page order: character references decoded, white space
-made one space, boilerplate elements left out.
-
-Defined results: null or empty html, and pages without text in the slot, give ''; a null
+each text node by its path and content; a path is a digest of its parent's digest and the
+element's own label.  The occurrence vector of a token says how often every page of the
+host holds it; tokens that share a vector are an equivalence class.  Vectors are compared
+by their support and by a sum of page hashes times counts, which tasks combine before
+anything is shuffled, so that no page and no host is gathered anywhere.
+
+Every class of elements and texts that `SUPPORT` pages hold, which are not all copies of one
+page, is a candidate, whatever the size of the host and however often it stands on a page.
+Classes nest by their paths: a text is template where an enclosing element is of its class
+and every such element of the page holds it once; so a layout that only some pages of a
+host have gets a template of its own.  The order of a class's tokens is not compared.
+
+The text of a page is all its text that is no template, in blocks in page order: character
+references decoded, white space made one space, boilerplate elements left out.
+
+Defined results: null or empty html, and pages without such text, give ''; a null
 URL is a host of its own (''); null page ids stay null and repeated rows give repeated
 rows; other columns are not read; an empty table gives an empty table.
 """
@@ -27,21 +26,20 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import over_batches
 from tessera.llm.urls import split_url
 from tessera.session import hint_small, materialize
 
-SHARE = 0.8
-FEW, MANY = 3, 20
-HOSTS = 100_000  # hosts up to which the templates (a path each) are broadcast
+SUPPORT = 3  # pages that hold a class: fewer are no evidence
+BROADCAST = 400_000  # tokens (16 bytes each) up to which the templates are broadcast
 
 RAW = ("script", "style", "textarea", "title", "noscript", "template")
 SKIPPED = frozenset(
@@ -70,27 +68,31 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An open element: its tag, its path, whether it or an ancestor is boilerplate."""
+    """An open element: its tag, path digest and parent, whether it or an ancestor is boilerplate."""
 
-    __slots__ = ("tag", "path", "skipped", "header")
+    __slots__ = ("tag", "key", "parent", "skipped", "header")
 
-    def __init__(self, tag: str, path: str, skipped: bool, header: bool):
-        self.tag, self.path, self.skipped, self.header = tag, path, skipped, header
+    def __init__(self, tag: str, key: int, parent: Node | None, skipped: bool, header: bool):
+        self.tag, self.key, self.parent, self.skipped, self.header = tag, key, parent, skipped, header
+
+
+def _key(parent: int, label: str) -> int:
+    """A signed 64-bit digest."""
+    return xxhash.xxh3_64_intdigest(f"{parent}\x00{label}") - (1 << 63)
 
 
 def _open(tag: str, attributes: str, parent: Node) -> Node:
     names = " ".join("".join(m) for m in _NAMES.findall(attributes)) if attributes else ""
-    # A slash in a name (w-1/2) would read as one more element of the path.
-    label = f"{tag}.{_DIGITS.sub('#', names.strip()).replace('/', '|')}" if names else tag
+    label = f"{tag}.{_DIGITS.sub('#', names.strip())}" if names else tag
     in_article = parent.tag in ("article", "main") or parent.header
     header = tag == "header" and in_article or parent.header
     skipped = parent.skipped or (tag in SKIPPED and not header) or bool(names and _CHROME.search(names))
-    return Node(tag, f"{parent.path}/{label}", skipped, header)
+    return Node(tag, _key(parent.key, label), parent, skipped, header)
 
 
 def parse(page: str) -> Iterator[tuple]:
     """Events in page order: ('open', node), ('text', node, text), ('break', node)."""
-    stack = [Node("", "", False, False)]
+    stack = [Node("", 0, None, False, False)]
     at, raw = 0, None
     n = len(page)
     while at < n:
@@ -139,8 +141,8 @@ def clean(parts: list[str]) -> str:
     return _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
 
 
-def blocks(page: str, opened: dict[str, int] | None = None) -> Iterator[tuple[Node, str]]:
-    """The blocks of text with the element that holds each; counts elements by path in `opened`."""
+def blocks(page: str, opened: dict[int, int] | None = None) -> Iterator[tuple[Node, str]]:
+    """The blocks of text with the element that holds each; counts elements by key in `opened`."""
     parts: list[str] = []
     owner = None
     for event in parse(page):
@@ -149,7 +151,7 @@ def blocks(page: str, opened: dict[str, int] | None = None) -> Iterator[tuple[No
             parts.append(event[2])
         elif event[0] == "open":
             if opened is not None and not event[1].skipped:
-                opened[event[1].path] += 1
+                opened[event[1].key] += 1
         elif parts:
             text = clean(parts)
             if text:
@@ -157,128 +159,89 @@ def blocks(page: str, opened: dict[str, int] | None = None) -> Iterator[tuple[No
             parts, owner = [], None
 
 
-def _under(path: str, root: str) -> bool:
-    return path == root or path.startswith(root + "/")
-
-
-def _digest(path: str, text: str) -> str:
-    return f"#{xxhash.xxh3_64_hexdigest(f'{path}\x00{text}')}"
+def _text_key(node: Node, text: str) -> int:
+    return _key(node.key, f"\x00{text}")
 
 
 def token_counts(pages: DataFrame) -> DataFrame:
-    """(host, token, n_pages, n, vector, chars) over all pages: `vector` sums page hash x count,
-    `chars` the text in elements that are no boilerplate."""
+    """(host, token, element, n_pages, n, high, low) of tokens that `SUPPORT` pages hold, not all copies:
+    `high` and `low` sum the halves of page hash x count."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        total: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
-        columns = [batch.column(i).to_pylist() for i in range(3)]
-        for page_id, host, page in zip(*columns, strict=True):
-            key = xxhash.xxh3_64_intdigest(f"{page_id}\x00{len(page)}")
-            count: dict[str, int] = defaultdict(int)
-            chars: dict[str, int] = defaultdict(int)
-            for node, text in blocks(page, count):
+        total: dict[tuple[str, int], list[int]] = {}
+        columns = [batch.column(i).to_pylist() for i in range(2)]
+        for host, page in zip(*columns, strict=True):
+            key = xxhash.xxh3_64_intdigest(page)
+            elements: dict[int, int] = defaultdict(int)
+            texts: dict[int, int] = defaultdict(int)
+            for node, text in blocks(page, elements):
                 if not node.skipped:
-                    count[_digest(node.path, text)] += 1
-                    path = node.path
-                    while path:
-                        chars[path] += len(text)
-                        path = path.rpartition("/")[0]
-            if count:
-                count[""] = 1
-            for token, n in count.items():
-                row = total[host, token]
-                row[0] += 1
-                row[1] += n
-                row[2] = (row[2] + key * n) & 0xFFFFFFFFFFFFFFFF
-                row[3] += chars.get(token, 0)
+                    texts[_text_key(node, text)] += 1
+            for element, count in ((1, elements), (0, texts)):
+                for token, n in count.items():
+                    row = total.setdefault((host, token), [element, 0, 0, 0, key, key])
+                    row[1] += 1
+                    row[2] += n
+                    row[3] = (row[3] + key * n) & 0xFFFFFFFFFFFFFFFF
+                    row[4], row[5] = min(row[4], key), max(row[5], key)
         keys = list(total)
-        values = np.array(list(total.values()), np.uint64).reshape(-1, 4).view(np.int64)
+        values = np.array(list(total.values()), np.uint64).reshape(-1, 6).view(np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-             *(pa.array(values[:, i].copy()) for i in range(4))],
-            ["host", "token", "n_pages", "n", "vector", "chars"],
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()),
+             *(pa.array(values[:, i].copy()) for i in range(6))],
+            ["host", "token", "element", "n_pages", "n", "vector", "least", "most"],
         )
 
-    sums = [F.sum(c).alias(c) for c in ("n_pages", "n", "chars")]
     # Vectors wrap around at 64 bits: their high and low halves are summed apart.
     high = F.sum(F.shiftrightunsigned("vector", 32)).alias("high")
     low = F.sum(F.col("vector").bitwiseAND(F.lit(0xFFFFFFFF))).alias("low")
-    return materialize(
+    differ = (F.min("least") != F.max("least")) | F.bool_or(F.col("least") != F.col("most"))
+    return (
         over_batches(
-            pages, work, "host string, token string, n_pages long, n long, vector long, chars long"
+            pages, work,
+            "host string, token long, element long, n_pages long, n long, vector long, least long, most long",
         )
         .groupBy("host", "token")
-        .agg(*sums, high, low)
-        # A token of one page is in no template of several.
-        .where("n_pages > 1 OR token = ''")
+        .agg(F.max("element").alias("element"), F.sum("n_pages").alias("n_pages"), F.sum("n").alias("n"),
+             high, low, differ.alias("differ"))
+        .where((F.col("n_pages") >= SUPPORT) & F.col("differ"))
+        .drop("differ")
     )
 
 
 def templates(tokens: DataFrame) -> DataFrame:
-    """(host, root, texts): the content slot's path and the template's own texts in it."""
-    whole = tokens.where("token = ''").select("host", F.col("n_pages").alias("total")).where(F.col("total") >= FEW)
-    few = whole.limit(HOSTS + 1).count() <= HOSTS
-    vector = ["host", "n_pages", "high", "low"]
-    # Tokens that stand at most once on a page, on most pages of the host.
-    single = (
-        tokens.where((F.col("token") != "") & (F.col("n") == F.col("n_pages")))
-        .join(hint_small(whole, few), "host")
-        .where(2 * F.col("n_pages") > F.col("total"))
-    )
-    # The largest equivalence class by elements and support is the template.
-    classes = single.groupBy(*vector).agg(F.count_if(~F.col("token").startswith("#")).alias("elements"))
-    weight = F.struct(F.col("elements") * F.col("n_pages"), *vector[1:])
-    largest = classes.groupBy("host").agg(F.max_by(F.struct(*vector[1:]), weight).alias("v")).select("host", "v.*")
-    in_class = single.join(hint_small(largest, few), vector)
-    last = F.regexp_extract("token", r"([^/.]*)(?:\.[^/]*)?$", 1)
-    boxes = (
-        in_class.where(~F.col("token").startswith("#") & last.isin(*CONTAINERS))
-        .withColumn("most", F.max("chars").over(Window.partitionBy("host")))
-        .where((F.col("chars") >= SHARE * F.col("most")) & (F.col("most") > 0))
-    )
-    deepest = F.max_by("token", F.struct(F.length("token"), "token"))
-    named = F.regexp_extract("deepest", r"^.*?/(?:article|main)(?:\.[^/]*)?(?=/|$)", 0)
-    roots = boxes.groupBy("host").agg(deepest.alias("deepest")).select(
-        "host", F.coalesce(F.nullif(named, F.lit("")), "deepest").alias("root")
-    )
-    texts = (
-        in_class.where(F.col("token").startswith("#") & (F.col("total") >= MANY))
+    """(host, elements, texts): tokens with their class, of the classes that hold both."""
+    vector = F.xxhash64("n_pages", "n", "high", "low")
+    classed = materialize(tokens.select("host", "token", "element", vector.alias("class")))
+    both = classed.groupBy("host", "class").agg(F.min("element").alias("a"), F.max("element").alias("b")).where("a < b")
+    pair = F.struct("token", "class")
+    return (
+        classed.join(both.select("host", "class"), ["host", "class"])
         .groupBy("host")
-        .agg(F.collect_set("token").alias("texts"))
+        .agg(F.collect_list(F.when(F.col("element") == 1, pair)).alias("elements"),
+             F.collect_list(F.when(F.col("element") == 0, pair)).alias("texts"))
     )
-    return roots.join(texts, "host", "left")
-
-
-def all_hosts(tokens: DataFrame) -> DataFrame:
-    """The token table of all hosts taken as one."""
-    sums = [F.sum(c).alias(c) for c in ("n_pages", "n", "chars", "high", "low")]
-    return tokens.groupBy("token").agg(*sums).withColumn("host", F.lit("*"))
-
-
-def main_text(page: str, roots: list[str], texts: set[str]) -> str:
-    """The blocks below the first of `roots` that the page has, else below its best container."""
-    found = list(blocks(page))
-    root = next((r for r in roots if r and any(_under(node.path, r) for node, _ in found)), None)
-    if root is None:
-        chars: dict[str, int] = defaultdict(int)
-        for node, text in found:
-            if not node.skipped:
-                path = node.path
-                while path:
-                    chars[path] += len(text)
-                    path = path.rpartition("/")[0]
-        boxes = [p for p in chars if p.rpartition("/")[2].partition(".")[0] in CONTAINERS]
-        most = max((chars[p] for p in boxes), default=0)
-        root = max((p for p in boxes if chars[p] >= SHARE * most), key=lambda p: (len(p), p), default="")
-    kept = [
+
+
+def main_text(page: str, elements: Iterable[tuple[int, int]], texts: Iterable[tuple[int, int]]) -> str:
+    """The blocks that are no template; `elements` and `texts` are the host's tokens with their class."""
+    elements, texts = dict(elements), dict(texts)
+    found = [(node, text) for node, text in blocks(page) if not node.skipped]
+    owners: dict[int, list[Node]] = defaultdict(list)
+    for node, text in found:
+        key = _text_key(node, text) if texts else None
+        if key in texts:
+            owner = node
+            while owner and elements.get(owner.key) != texts[key]:
+                owner = owner.parent
+            owners[key].append(owner)
+    # Nested: each element of the class holds the text once.
+    template = {k for k, held in owners.items() if None not in held and len({id(o) for o in held}) == len(held)}
+    return "\n".join(
         text
         for node, text in found
-        if _under(node.path, root)
-        and not node.skipped
-        and (not node.header or node.tag in HEADINGS)
-        and not (texts and _digest(node.path, text) in texts)
-    ]
-    return "\n".join(kept)
+        if (not node.header or node.tag in HEADINGS) and not (template and _text_key(node, text) in template)
+    )
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -290,21 +253,18 @@ def extract_text(pages: DataFrame) -> DataFrame:
         split_url(url)[0].alias("host"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     )
-    tokens = token_counts(rows.select("page_id", "host", "html"))
-    own = materialize(templates(tokens))
-    shared = templates(all_hosts(tokens)).first()
-    shared_root = shared.root if shared else ""
+    own = materialize(templates(token_counts(rows.select("host", "html"))))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns = [batch.column(i).to_pylist() for i in (2, 3, 4)]
-        found = [
-            main_text(page, [root, shared_root], set(texts or ()))
-            for page, root, texts in zip(*columns, strict=True)
-        ]
+        pages, elements, texts = (batch.column(i).to_pylist() for i in (2, 3, 4))
+        pairs = [[[(t["token"], t["class"]) for t in row or ()] for row in column] for column in (elements, texts)]
+        found = [main_text(*row) for row in zip(pages, *pairs, strict=True)]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(found, pa.string())], ["page_id", "url", "text"]
         )
 
-    few = own.limit(HOSTS + 1).count() <= HOSTS
-    placed = rows.join(hint_small(own, few), "host", "left").select("page_id", "url", "html", "root", "texts")
-    return over_batches(placed, work, "page_id long, url string, text string")
+    size = own.agg(F.sum(F.size("elements") + F.size("texts"))).first()[0] or 0
+    placed = rows.join(hint_small(own, size <= BROADCAST), "host", "left")
+    return over_batches(
+        placed.select("page_id", "url", "html", "elements", "texts"), work, "page_id long, url string, text string"
+    )

@@ -287,6 +287,23 @@ def test_page_text_of_deep_pages_with_long_class_lists(spark):
     }
 
 
+def test_page_text_of_small_hosts_and_two_layouts(spark):
+    def page(i):
+        if i % 4:
+            return f"<body><div class=a><p>Old notice.</p><p>first {i}</p><p>first more {i}</p></div></body>"
+        again = "".join(f"<section><p>Reply</p><p>says {i} {k}</p></section>" for k in range(1 + i % 3))
+        return f"<body><div class=b><p>New notice.</p>{again}<p>twice</p><p>twice</p></div></body>"
+
+    rows = [(i, f"http://two.test/{i}", page(i)) for i in range(19)]
+    rows += [(100 + i, f"http://same.test/{i}", "<body><p>all copies</p></body>") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_text(pages).collect()}
+    for i in range(19):
+        again = [f"says {i} {k}" for k in range(1 + i % 3)]
+        assert got[i].split("\n") == ([f"first {i}", f"first more {i}"] if i % 4 else [*again, "twice", "twice"])
+    assert {got[100 + i] for i in range(5)} == {"all copies"}
+
+
 # Quality
 
 

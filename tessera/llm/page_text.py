@@ -14,7 +14,9 @@ and every such element of the page holds it once; so a layout that only some pag
 host have gets a template of its own.  The order of a class's tokens is not compared.
 
 The text of a page is all its text that is no template, in blocks in page order: character
-references decoded, white space made one space, boilerplate elements left out.
+references decoded, white space made one space, boilerplate elements left out: those of
+boilerplate tags, and outside of article and main those with a boilerplate class or id that
+enclose no article nor, on a page without text in one, half of its text.
 
 Defined results: null or empty html, and pages without such text, give ''; a null
 URL is a host of its own (''); null page ids stay null and repeated rows give repeated
@@ -53,10 +55,11 @@ BLOCKS = CONTAINERS | frozenset(
 ) | SKIPPED
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+# Whole class names and ids of boilerplate: no-sidebar, entry-header or comments-open are none.
 _CHROME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|nav\w*|menu|sidebar|footer|header|breadcrumbs?|comments?|"
+    r"(?<!\S)(?:ads?|advert\w*|banner|nav|navbar|navigation|menu|sidebar|footer|header|breadcrumbs?|comments?|"
     r"share|social|related|promo\w*|sponsor\w*|newsletter|subscribe|cookies?|notices?|popup|modal|"
-    r"login|signup|widget)(?:$|[\s_-])",
+    r"login|signup|widget)(?!\S)",
     re.I,
 )
 _TAG = re.compile(
@@ -68,12 +71,15 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An open element: its tag, path digest and parent, whether it or an ancestor is boilerplate."""
+    """An open element: its tag, path digest and parent, whether its or an ancestor's tag is boilerplate,
+    and the outermost element from here up that is named as boilerplate."""
 
-    __slots__ = ("tag", "key", "parent", "skipped", "header")
+    __slots__ = ("tag", "key", "parent", "skipped", "header", "named", "content")
 
     def __init__(self, tag: str, key: int, parent: Node | None, skipped: bool, header: bool):
         self.tag, self.key, self.parent, self.skipped, self.header = tag, key, parent, skipped, header
+        self.named = parent.named if parent else None
+        self.content = tag in ("article", "main") or bool(parent and parent.content)
 
 
 def _key(parent: int, label: str) -> int:
@@ -86,8 +92,12 @@ def _open(tag: str, attributes: str, parent: Node) -> Node:
     label = f"{tag}.{_DIGITS.sub('#', names.strip())}" if names else tag
     in_article = parent.tag in ("article", "main") or parent.header
     header = tag == "header" and in_article or parent.header
-    skipped = parent.skipped or (tag in SKIPPED and not header) or bool(names and _CHROME.search(names))
-    return Node(tag, _key(parent.key, label), parent, skipped, header)
+    skipped = parent.skipped or (tag in SKIPPED and not header)
+    node = Node(tag, _key(parent.key, label), parent, skipped, header)
+    # No name drops an article, what is in it, or the page.
+    if names and not node.named and not node.content and tag not in ("html", "body") and _CHROME.search(names):
+        node.named = node
+    return node
 
 
 def parse(page: str) -> Iterator[tuple]:
@@ -223,6 +233,20 @@ def templates(tokens: DataFrame) -> DataFrame:
     )
 
 
+def enclosing(kept: list[tuple[Node, str]]) -> set[Node]:
+    """Elements named as boilerplate whose name does not count: they enclose an article or, on a page
+    without text in one, half of the text."""
+    articles = [node for node, _ in kept if node.content]
+    if articles:
+        return {node.named for node in articles if node.named}
+    chars: dict[Node, int] = defaultdict(int)
+    for node, text in kept:
+        if node.named:
+            chars[node.named] += len(text)
+    total = sum(len(text) for _, text in kept)
+    return {named for named, n in chars.items() if 2 * n >= total}
+
+
 def main_text(page: str, elements: Iterable[tuple[int, int]], texts: Iterable[tuple[int, int]]) -> str:
     """The blocks that are no template; `elements` and `texts` are the host's tokens with their class."""
     elements, texts = dict(elements), dict(texts)
@@ -237,11 +261,13 @@ def main_text(page: str, elements: Iterable[tuple[int, int]], texts: Iterable[tu
             owners[key].append(owner)
     # Nested: each element of the class holds the text once.
     template = {k for k, held in owners.items() if None not in held and len({id(o) for o in held}) == len(held)}
-    return "\n".join(
-        text
+    kept = [
+        (node, text)
         for node, text in found
         if (not node.header or node.tag in HEADINGS) and not (template and _text_key(node, text) in template)
-    )
+    ]
+    slots = enclosing(kept)
+    return "\n".join(text for node, text in kept if not node.named or node.named in slots)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

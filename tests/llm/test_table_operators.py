@@ -304,6 +304,22 @@ def test_page_text_of_small_hosts_and_two_layouts(spark):
     assert {got[100 + i] for i in range(5)} == {"all copies"}
 
 
+@pytest.mark.parametrize("names", ["no-sidebar", "single has-sidebar", "sidebar", "content with-sidebar", "widget-text"])
+def test_page_text_is_not_dropped_for_its_names(names):
+    text = "".join(f"<p>part {i} has some words</p>" for i in range(4))
+    wanted = "\n".join(["Title", *(f"part {i} has some words" for i in range(4))])
+    for tag in ("body", "div", "article", "main"):
+        assert main_text(f"<{tag} class='{names}'><h1>Title</h1><div><div>{text}</div></div></{tag}>", [], []) == wanted
+    inner = f"<article><div class='entry-header'><h1>Title</h1></div><div class='{names}'>{text}</div></article>"
+    assert main_text(f"<body>{inner}<div class='sidebar'>aside</div></body>", [], []) == wanted
+    assert main_text(f"<div class='widget'>{inner}</div><p>{'outside ' * 40}</p>", [], []).startswith(wanted)
+
+
+def test_page_text_keeps_a_small_sibling_of_the_largest_box():
+    page = f"<body><h1>Title</h1><div>{'<p>many words here</p>' * 9}</div><div><p>last part</p></div></body>"
+    assert main_text(page, [], []).split("\n") == ["Title", *["many words here"] * 9, "last part"]
+
+
 # Quality
 
 

@@ -1,10 +1,12 @@
 """Secrets: fixed shapes, and strings near sensitive words that a primed zstandard cannot shorten.
 
 Base kinds (assign, access, hex) are reported whenever their own rule holds.  The method adds
-kind `novel`: a run of token characters shortly after a sensitive word is compressed with
-a dictionary made of common identifiers and the text around it.  The bytes it adds, against
-an empty input under the same dictionary, tell how little of it is known: words and names
-of the surroundings shrink to a few bytes, random keys do not shrink.
+kind `novel`: a run of token characters shortly after or before a sensitive word, or on the
+lines that follow such a key, is compressed with a dictionary made of common identifiers
+and the text around it.  The bits it adds, against an empty input under the same dictionary,
+are compared with those of a random string of its length and alphabet: words and names of
+the surroundings need fewer, random keys do not.  Short words pass through zstandard as they
+are, so the bits by the letter pairs of the same primer count if they are fewer.
 
 Defined results: a null or empty text has no spans; a null doc_id stays null; repeated rows
 give repeated rows; other columns are not read; an empty table gives an empty table.
@@ -12,7 +14,10 @@ give repeated rows; other columns are not read; an empty table gives an empty ta
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import pyarrow as pa
 import zstandard
@@ -23,8 +28,9 @@ from tessera.llm.common import SPANS, Covered, over_batches, span_table, text_or
 
 BASE = ("assign", "access", "hex")
 MIN_LENGTH = 16
-NOVELTY = 0.85  # marginal bytes per byte of the candidate
-BEFORE = 48  # a candidate starts at most so many characters after a sensitive word
+NOVELTY = 0.95  # share of a random string's bits
+NEAR = 48  # characters at most between a candidate and a sensitive word
+BETWEEN = 16  # and between lines of one key: line ends, quotes, indentation
 AROUND = 512  # characters of text on either side that prime the compressor
 
 _ASSIGN = re.compile(
@@ -39,6 +45,13 @@ SENSITIVE = (
 )
 _SENSITIVE = re.compile("(?i:" + "|".join(map(re.escape, SENSITIVE)) + ")")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
+_NAMED = re.compile("(?i:" + "|".join(map(re.escape, SENSITIVE)) + r")[A-Za-z0-9_-]{0,16}=+")
+_FILLER = re.compile(r"[\s\"'\\,;>#*]*(?:\\n)?[\s\"'\\,;>#*]*")
+ALPHABETS = tuple(
+    (re.compile(f"[{chars}]+"), math.log2(n))
+    for chars, n in (("0-9", 10), ("0-9a-f", 16), ("0-9A-F", 16), ("a-z", 26), ("A-Z", 26), ("A-Z2-7", 32),
+                     ("0-9a-z", 36), ("0-9A-Z", 36), ("A-Za-z", 52), ("0-9A-Za-z", 62))
+)
 # Identifiers that code and settings commonly hold: what a compressor should already know.
 IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 "
@@ -74,22 +87,55 @@ def marginal_bytes(candidate: str, before: str, after: str) -> int:
     return len(zstd.compress(candidate.encode())) - len(zstd.compress(b""))
 
 
+def random_bits(candidate: str) -> float:
+    """Bits of a random string of the candidate's length over the smallest usual alphabet that holds it."""
+    key = candidate.rstrip("=") or candidate
+    return len(key) * next((bits for chars, bits in ALPHABETS if chars.fullmatch(key)), 6.0)
+
+
+def pair_bits(candidate: str, primer: str) -> float:
+    """Bits of the candidate by how often its letters follow each other in the primer."""
+    low = primer.lower()
+    pairs, firsts = Counter(zip(low, low[1:], strict=False)), Counter(low)
+    key = candidate.rstrip("=") or candidate
+    text = f" {key.lower()}"
+    bits = -sum(
+        math.log2((pairs[a, b] + 0.25) / (firsts[a] + 0.25 * 38)) for a, b in zip(text, text[1:], strict=False)
+    )
+    # Upper and lower case mixed at random are one more bit a letter: changes of case count.
+    letters = [c.isupper() for c in key if c.isalpha()]
+    return bits + 2 * sum(a != b for a, b in zip(letters, letters[1:], strict=False))
+
+
+def novelty(candidate: str, before: str, after: str) -> float:
+    """Bits the candidate adds, in those of a random string like it; about 1 or more is random."""
+    bits = min(8 * marginal_bytes(candidate, before, after), pair_bits(candidate, f"{IDENTIFIERS} {after} {before}"))
+    return bits / random_bits(candidate)
+
+
 def novel_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int, float]]:
-    """Incompressible candidates after a sensitive word that overlap no span taken."""
-    out, done = [], 0
+    """Random candidates near a sensitive word, or on lines after one, that overlap no span taken."""
+    out, last = [], -1  # where the last key ended
     covered = Covered((s, e) for _, s, e in taken)
-    for word in _SENSITIVE.finditer(text):
-        begin, last = max(word.end(), done), word.end() + BEFORE
-        while m := _CANDIDATE.search(text, begin, last + MIN_LENGTH):
-            start = m.start()
-            begin = done = end = _CANDIDATE.match(text, start).end()
-            token = m.string[start:end]
-            mixed = any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
-            if mixed and not covered(start, end):
-                before, after = text[max(0, start - AROUND):start], text[end:end + AROUND]
-                novelty = marginal_bytes(token, before, after) / len(token)
-                if novelty >= NOVELTY:
-                    out.append(("novel", start, end, min(1.0, novelty)))
+    words = [m.span() for m in _SENSITIVE.finditer(text)]
+    starts, ends = [s for s, _ in words], [e for _, e in words]
+    for m in _CANDIDATE.finditer(text):
+        start, end = m.span()
+        name = _NAMED.match(text, start, end) or _NAMED.search(text, start, end)
+        if name and end - name.end() >= MIN_LENGTH:
+            start = name.end()
+        before, after = bisect_right(ends, start) - 1, bisect_left(starts, end)
+        near = (before >= 0 and start - ends[before] <= NEAR) or (after < len(starts) and starts[after] - end <= NEAR)
+        follows = 0 <= last and start - last <= BETWEEN and _FILLER.fullmatch(text, last, start)
+        if not (near or follows):
+            continue
+        if covered(start, end):
+            last = end
+            continue
+        score = novelty(text[start:end], text[max(0, start - AROUND):start], text[end:end + AROUND])
+        if score >= NOVELTY:
+            out.append(("novel", start, end, min(1.0, score)))
+            last = end
     return out
 
 

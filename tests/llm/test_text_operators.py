@@ -87,6 +87,36 @@ def test_novel_secrets_need_context_and_novelty():
     assert not secrets.find_spans("bearer abcdefghijklmnopqrstuvwxyz0123456789")
 
 
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+BASE64 = UPPER + LOWER + DIGITS + "+/"
+
+
+@pytest.mark.parametrize(
+    ("alphabet", "length"),
+    [(DIGITS + "ABCDEF", 64), (UPPER + "234567", 128), (LOWER + DIGITS, 200), (BASE64, 400), (BASE64, 800),
+     (BASE64, 43), (LOWER, 32), (UPPER + LOWER, 40)],
+)
+def test_random_keys_of_every_alphabet_are_novel(alphabet, length):
+    draw = np.random.default_rng(length)
+    for _ in range(20):
+        key = "".join(draw.choice(list(alphabet), length))
+        for text in (f"Authorization: Bearer {key}\n", f"pwd={key}", f"{key} is the bearer"):
+            assert [(k, text[b:e]) for k, b, e, _ in secrets.find_spans(text)] == [("novel", key)]
+
+
+def test_key_lines_share_their_context():
+    draw = np.random.default_rng(3)
+    lines = ["".join(draw.choice(list(BASE64), 64)) for _ in range(20)]
+    text = "\n".join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END-----"])
+    assert [text[b:e] for _, b, e, _ in secrets.find_spans(text)] == lines
+
+
+def test_words_and_names_are_not_novel():
+    for word in ("responsibilities", "get_user_account_by_identifier", "internationalization-settings",
+                 "your_password_here_please", "com/company/project/service/handler", "z" * 24, "-" * 30):
+        assert not secrets.find_spans(f"the token {word} and others")
+
+
 def test_repeated_matches_stay_fast():
     assert len(pii.find_spans("a@b.co " * 20_000)) == 20_000
     assert len(pii.find_spans("1" * 200_000)) == 0

@@ -221,19 +221,19 @@ def proximity_matches(index: Index, items: Items, n_terms: int = 4, reach: int =
         items.offsets()
         .select("item_id", "version", "term")
         .distinct()
-        .join(frequency, "term", "left")
+        .join(hint_small(frequency, _small(frequency)), "term", "left")
         .fillna(0, ["n"])
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= n_terms)
     )
     whole = Window.partitionBy("item_id", "version")
-    rarest = rarest.withColumn("wanted", F.count("*").over(whole)).select(
-        "item_id", "version", "term", "wanted"
+    rarest = materialize(
+        rarest.withColumn("wanted", F.count("*").over(whole)).select("item_id", "version", "term", "wanted")
     )
     # Stretches overlap by half, so that any stretch of `reach` words lies inside one of two.
     cell = F.floor(F.col("pos") / reach)
     near = (
-        index.postings.join(rarest, "term")
+        index.postings.join(hint_small(rarest, _small(rarest)), "term")
         .select(*KEY, "item_id", "version", "wanted", "pos", "term", F.explode(F.array(cell, cell - 1)).alias("cell"))
         .groupBy(*KEY, "item_id", "version", "wanted", "cell")
         .agg(F.collect_set(F.struct("pos", "term")).alias("at"))
@@ -251,3 +251,16 @@ def proximity_matches(index: Index, items: Items, n_terms: int = 4, reach: int =
         == F.col("wanted"),
     )
     return near.where(within).select(*KEY, "item_id").distinct()
+
+
+def near_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_near, near_items (ids as sorted strings) of the items `proximity_matches` finds."""
+    items = Items.of(benchmark)
+    index = build_index(docs, items)
+    near = proximity_matches(index, items).groupBy(*KEY).agg(F.collect_set("item_id").alias("near"))
+    none = F.array().cast("array<string>")
+    return index.rows.join(near, list(KEY), "left").select(
+        "doc_id",
+        F.coalesce(F.size("near"), F.lit(0)).cast("long").alias("n_near"),
+        F.coalesce(F.array_sort(F.col("near").cast("array<string>")), none).alias("near_items"),
+    )

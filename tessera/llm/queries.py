@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import pii, secrets
 from tessera.llm.common import count_kind, joined_spans, of_kinds, read_table
-from tessera.llm.decontam import decontaminate
+from tessera.llm.decontam import decontaminate, near_documents
 from tessera.llm.exact_dedup import list_duplicates
 from tessera.llm.jaccard_join import components
 from tessera.llm.page_text import extract_text
@@ -118,3 +118,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proximity matches beside op10_decontamination, whose columns its SQL fixes."""
+    found = near_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_near", F.array_join("near_items", ",").alias("near_items"))
+
+
+# Second queries of an operator, without SQL.
+FURTHER: dict[str, Query] = {"op10_near": op10_near}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from hashlib import sha256
 
 import duckdb
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import bloom, jaccard_join, quality
-from tessera.llm.decontam import Items, build_index, clean_documents, decontaminate, proximity_matches
+from tessera.llm.decontam import Items, build_index, clean_documents, decontaminate, near_documents, proximity_matches
 from tessera.llm.exact_dedup import distinct_documents, list_duplicates
 from tessera.llm.jaccard_join import components, one_per_component
 from tessera.llm.oracle import ORACLE_SQL
@@ -212,6 +213,45 @@ def test_proximity_takes_terms_in_any_order(spark):
     assert [(r.doc_id, r.item_id) for r in found.collect()] == [(1, 9)]
 
 
+def plain_near(rows, items, n_terms=4, reach=60):
+    """Items whose rarest terms stand within a stretch; ties in rarity go by the hash, so tests avoid them."""
+    texts = {i: plain_words(t) for i, t in rows}
+    count = Counter(w for words in texts.values() for w in words)
+    out = {}
+    for doc_id, words in texts.items():
+        near = set()
+        for item_id, item in items:
+            rarest = set(sorted(set(plain_words(item)), key=lambda w: count[w])[:n_terms])
+            if rarest and any(rarest <= set(words[a:a + reach]) for a in range(max(1, len(words)))):
+                near.add(str(item_id))
+        out[doc_id] = sorted(near)
+    return out
+
+
+def test_near_documents_equal_brute_force(spark):
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(4)) + " common") for i in range(5)]
+    draw = np.random.default_rng(8)
+    rows = []
+    for d in range(80):
+        words = ["common"] * 160
+        for w in items[d % 5][1].split()[:4 - (d % 7 == 0)]:
+            words[int(draw.integers(160 if d % 2 else 70))] = w
+        rows.append((d, " ".join(words)))
+    rows += [(90, None), (91, ""), (92, items[2][1])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = near_documents(documents(spark, rows), benchmark).collect()
+    got = {r.doc_id: list(r.near_items) for r in found}
+    wanted = plain_near(rows, items)
+    assert got == wanted and all(r.n_near == len(r.near_items) for r in found)
+    assert 5 < sum(map(bool, wanted.values())) < 75
+
+
+def test_near_query_is_registered():
+    import __spark_entry__
+
+    assert "op10_near" in __spark_entry__.queries()
+
+
 # URLs
 
 

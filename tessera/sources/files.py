@@ -48,6 +48,19 @@ def root_exists(spark: SparkSession, root: str) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
+def is_hidden(name: str) -> bool:
+    """Whether Spark's listing passes over a name."""
+    if name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _reaches(outer: str, root: str) -> bool:
+    """Whether a listing of `outer` gets to `root`: it is below by names that are not hidden."""
+    below = outer.rstrip("/") + "/"
+    return root.startswith(below) and not any(map(is_hidden, root.removeprefix(below).split("/")))
+
+
 def scan_files(
     spark: SparkSession, roots: Iterable[str], extensions: Iterable[str] | None = None
 ) -> DataFrame:
@@ -60,12 +73,8 @@ def scan_files(
     """
     wanted = sorted({e.lower() for e in (extensions or DOC_TYPES)})
     present = sorted({r.rstrip("/") or "/" for r in roots if root_exists(spark, r)})
-    # A root below another root adds nothing, so no path can be read twice.
-    outer = [
-        r
-        for r in present
-        if not any(r != o and r.startswith(o.rstrip("/") + "/") for o in present)
-    ]
+    # A root that another root's listing reaches adds nothing, so no path can be read twice.
+    outer = [r for r in present if not any(r != o and _reaches(o, r) for o in present)]
     if not outer:
         return spark.createDataFrame([], schemas.FILES)
     reader = (

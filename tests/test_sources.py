@@ -59,6 +59,16 @@ def test_scan_reads_wanted_contents_only(spark, tmp_path):
     assert {got[n][0] for n in ("a.TXT", "d.Html")} == {"parsed"}
 
 
+def test_hidden_roots_below_another_root_are_read_once(spark, tmp_path):
+    names = ["a.md", "sub/b.md", "_drafts/c.md", "_drafts/deep/d.md", "_k=v/e.md", "sub/.x/y/f.md"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    roots = ["", "sub", "_drafts", "_drafts/deep", "_k=v", "sub/.x"]
+    rows = scan_files(spark, [str(tmp_path / r) for r in roots]).select("path").collect()
+    assert sorted(r.path for r in rows) == sorted(str(tmp_path / n) for n in names)
+
+
 def test_titles_fall_back(spark):
     pages = spark.createDataFrame(
         [

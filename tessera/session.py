@@ -84,7 +84,8 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     if partition_by is not None:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    # With the schema at hand no job has to read it from the files.
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_intermediate(spark: SparkSession) -> None:

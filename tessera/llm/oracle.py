@@ -124,7 +124,74 @@ FROM d JOIN reach ON d.doc_id = reach.a LEFT JOIN n ON n.doc_id = d.doc_id
 GROUP BY d.doc_id
 """
 
+MERKLE = r"""
+WITH RECURSIVE parts AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, n_chars,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM documents
+),
+hashed AS (
+  SELECT rid, doc_id, lang,
+         sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+         sha256(head || strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) || tail) AS tampered,
+         xor(4294967295::BIGINT, list_reduce(
+           list_prepend(4294967295::BIGINT, flatten(list_transform(
+             string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+           lambda r, e: xor(xor(r, e) >> 1, 3988292384 * (xor(r, e) & 1)))) AS crc
+  FROM parts
+),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+         count(*) OVER (PARTITION BY lang) AS n
+  FROM hashed
+),
+nodes AS (
+  SELECT lang, 0 AS level, idx, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, idx // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx))
+  FROM nodes WHERE n > 1 GROUP BY lang, level, idx // 2
+),
+tops AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n
+  FROM nodes WHERE n = 1
+),
+over_tops AS (
+  SELECT 0 AS level, idx, n, subroot AS h FROM tops
+  UNION ALL
+  SELECT level + 1, idx // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx))
+  FROM over_tops WHERE n > 1 GROUP BY level, idx // 2
+),
+steps AS (
+  SELECT l.rid, x.level, CASE WHEN x.idx & 1 = 1 THEN 'L' ELSE 'R' END || coalesce(s.h, '') AS step
+  FROM leaves l
+  JOIN nodes x ON x.lang IS NOT DISTINCT FROM l.lang AND x.idx = l.idx >> x.level AND x.n > 1
+  LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM x.lang AND s.level = x.level AND s.idx = xor(x.idx, 1)
+  UNION ALL
+  SELECT l.rid, 1000 + x.level, CASE WHEN x.idx & 1 = 1 THEN 'L' ELSE 'R' END || coalesce(s.h, '')
+  FROM leaves l
+  JOIN tops t ON t.lang IS NOT DISTINCT FROM l.lang
+  JOIN over_tops x ON x.idx = t.idx >> x.level AND x.n > 1
+  LEFT JOIN over_tops s ON s.level = x.level AND s.idx = xor(x.idx, 1)
+),
+paths AS (SELECT rid, list(step ORDER BY level) AS path FROM steps GROUP BY rid),
+whole AS (
+  SELECT l.*, t.subroot, coalesce(p.path, []) AS path,
+         CASE WHEN crc % 7 = 0 AND tampered IS NOT NULL THEN tampered ELSE leaf END AS start
+  FROM leaves l JOIN tops t ON t.lang IS NOT DISTINCT FROM l.lang LEFT JOIN paths p USING (rid)
+),
+folded AS (
+  SELECT *, sha256(coalesce(array_to_string(list_transform(path, lambda e: substr(e, 2)), ''), '')) AS proof_sha256,
+         list_reduce(list_prepend(start, path), lambda r, e: sha256(
+           CASE WHEN e[1] = 'L' THEN substr(e, 2) || r ELSE r || substr(e, 2) END)) AS folded_root
+  FROM whole
+)
+SELECT doc_id, leaf, subroot, o.h AS root, proof_sha256, folded_root, folded_root = o.h AS verified
+FROM folded, over_tops o WHERE o.n = 1
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": EXACT_DEDUP, "op8_urls": URLS, "op9_jaccard_join": JACCARD_JOIN,
-    "op10_decontamination": DECONTAMINATION,
+    "op10_decontamination": DECONTAMINATION, "op12_merkle": MERKLE,
 }

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import pii, secrets
+from tessera.llm import merkle, pii, runs, secrets
 from tessera.llm.common import count_kind, joined_spans, of_kinds, read_table
 from tessera.llm.decontam import decontaminate, near_documents
 from tessera.llm.exact_dedup import list_duplicates
@@ -17,6 +17,7 @@ from tessera.llm.jaccard_join import components
 from tessera.llm.page_text import extract_text
 from tessera.llm.pieces import encode_pieces
 from tessera.llm.quality import KEEP_AT, score_documents, train
+from tessera.llm.simhash import near_duplicates
 from tessera.llm.token_files import read_tokens, write_tokens
 from tessera.llm.urls import canonical_url, judge_urls
 from tessera.session import intermediate_folder
@@ -120,6 +121,67 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+@register
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaf folded up to the root; rows picked by their id's checksum are tampered with."""
+    picked = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+    changed = [more if name == "n_chars" else F.col(name) for name in merkle.COLUMNS]
+    tampered = F.when(picked & F.col("n_chars").isNotNull(), merkle.leaf_digest(changed))
+    manifest = merkle.build_manifest(read_table(spark, sf_dir, "documents"), further={"tampered": tampered})
+    folded = merkle.folded(F.coalesce("further.tampered", "leaf"), F.col("path"))
+    return merkle.proofs(manifest).select(
+        F.col("order").alias("doc_id"),
+        merkle.as_hex(F.col("leaf")).alias("leaf"),
+        merkle.as_hex(F.col("subroot")).alias("subroot"),
+        F.lit(manifest.root).alias("root"),
+        merkle.as_hex(merkle.path_digest(F.col("path"))).alias("proof_sha256"),
+        merkle.as_hex(folded).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the documents the words from a on repeat with period p."""
+    checksum = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), checksum.alias("h"))
+    picked = rows.where("h % 10 = 0").select(
+        "doc_id", "text", F.expr("h div 10").alias("g"), runs.words_of(F.col("text")).alias("words")
+    )
+    shifts = picked.withColumn("n", F.size("words")).withColumn("a", F.expr("int(g % greatest(n, 1))"))
+    shifts = shifts.withColumn("p", F.expr("int(1 + (n - a) div (3 + g % 8))"))
+    period = F.expr("slice(words, a + 1, p)")
+    times = F.expr("int((n - a) div p + 1)")
+    repeated = F.slice(F.flatten(F.array_repeat(period, times)), 1, F.col("n") - F.col("a"))
+    planted = F.array_join(F.concat(F.slice("words", 1, F.col("a")), repeated), " ")
+    return (
+        rows.where("h % 10 <> 0 OR h IS NULL")
+        .select("doc_id", "text")
+        .unionByName(shifts.select("doc_id", F.when(F.col("n") > 0, planted).otherwise("").alias("text")))
+    )
+
+
+@register
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(with_planted_runs(read_table(spark, sf_dir, "documents")))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = runs.strongest(F.col("runs"))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{name}").alias(name) for name in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proximity matches beside op10_decontamination, whose columns its SQL fixes."""
     found = near_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

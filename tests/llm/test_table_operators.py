@@ -137,6 +137,26 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, light, chunk):
     assert sorted(map(tuple, components(documents(spark, rows)).collect()), key=repr) == plain_components(rows)
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_scans_in_blocks_and_slices_lose_no_link(spark, monkeypatch, seed):
+    monkeypatch.setattr(jaccard_join, "LIGHT", 2)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 600)
+    rows = near_copies(seed)
+    assert sorted(map(tuple, components(documents(spark, rows)).collect()), key=repr) == plain_components(rows)
+
+
+def test_an_id_with_several_texts_links_through_all_of_them(spark):
+    a, b = PLAIN, " ".join(f"b{i}" for i in range(30))
+    rows = [(3, a), (10, a), (3, b), (2, b), (20, a + " more"), (7, b + " end"), (30, "else"), (30, None), (31, "else")]
+    got = sorted(map(tuple, components(documents(spark, rows)).collect()), key=repr)
+    assert got == plain_components(rows)
+    assert {r[2] for r in got if r[0] < 30} == {2}
+    extreme = [((1 << 63) - 1, a), ((1 << 63) - 1, b), (5, b), (-9, a)]
+    got = sorted(map(tuple, components(documents(spark, extreme)).collect()), key=repr)
+    assert got == plain_components(extreme)
+
+
 def test_components_of_awkward_rows(spark):
     docs = documents(spark)
     assert sorted(map(tuple, components(docs).collect()), key=repr) == plain_components(TEXTS)

@@ -42,11 +42,11 @@ BLOCK_TOKENS = 1 << 20
 TABLE_WORDS = 400_000
 HINT_EVERY = 256
 _HEAD = struct.Struct("<4sBBxxQQQ")
-_WORD = re.compile(r"[^ \t-\r]+")
 # Letters, then marks: the shape of most words, which the tokenizer cuts between the two at most.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,%&$*#!|?;:]*)")
 WORD_END = "</w>"
 JOINED_WORDS = 256
+PROBE_SPACES = " \n\t\r\x0b\x0c "
 PROBE = ["The", "Élan", ",", "Straße", "%%%", "ñandú", "...", "don", "x"]
 _ENCODERS: dict[str, TokenEncoder] = {}
 
@@ -96,12 +96,23 @@ class EliasFano:
             value |= (int(self.low[bit >> 3]) >> (bit & 7) & 1) << k
         return value
 
-    def select_all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.l)
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.l].reshape(self.n, self.l)
-        weights = np.uint64(1) << np.arange(self.l, dtype=np.uint64)
-        return high + (bits * weights).sum(axis=1, dtype=np.uint64)
+    def select_group(self, g: int) -> list[int]:
+        """Values g * HINT_EVERY and on, up to the next hint: one look at the bytes between."""
+        first = g * HINT_EVERY
+        count = min(HINT_EVERY, self.n - first)
+        begin = int(self.hints[g])
+        end = int(self.hints[g + 1]) if g + 1 < len(self.hints) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[begin >> 3 : (end + 7) >> 3], bitorder="little")
+        ones = np.flatnonzero(bits[begin & 7 :])[:count] + begin
+        high = (ones - np.arange(first, first + count)) << self.l
+        at = first * self.l
+        low = np.unpackbits(self.low[at >> 3 : (at + count * self.l + 7) >> 3], bitorder="little")
+        low = low[at & 7 : (at & 7) + count * self.l].reshape(count, self.l)
+        return (high + (low.astype(np.int64) << np.arange(self.l)).sum(axis=1)).tolist()
+
+    def __iter__(self) -> Iterator[int]:
+        for g in range(len(self.hints)):
+            yield from self.select_group(g)
 
 
 def pack_block(doc_ids: list, ends: np.ndarray, ids: np.ndarray, start: int, width: int) -> bytes:
@@ -151,13 +162,14 @@ class Block:
 
 
 class TokenEncoder:
-    """Encodes texts as the tokenizer file does, each distinct word once.
-
-    The tokenizer splits at white space before anything else, so that a text's ids are
-    those of its words one after the other.  New words go to the library many to a call.  A
-    word of letters and then marks is cut between the two and nowhere else, so that such
-    parts can be given to the same model with white space as the only splitter; each part
-    ends with a token that carries the end mark, which tells the parts' ids apart again.
+    """Encodes texts as the tokenizer file does, each distinct word once where it allows that.
+
+    Most tokenizers split at white space before anything else, so that a text's ids are
+    those of its words one after the other; one that does not, as `PROBE` tells, gets whole
+    texts.  New words go to the library many to a call.  If a word of letters and then marks
+    is cut between the two and nowhere else, such parts are given to the same model with
+    white space as the only splitter; each part ends with a token that carries the end mark,
+    which tells the parts' ids apart again.  Otherwise the library gets the words as they are.
     """
 
     def __init__(self, path: str, bound: int = TABLE_WORDS):
@@ -175,8 +187,9 @@ class TokenEncoder:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends_word[i] = token.endswith(WORD_END)
-        if self._joined(PROBE) != self._ids(self.tokenizer, [" ".join(PROBE)]):
-            raise ValueError(f"{path}: words of letters and marks are not cut as expected")
+        whole = self._ids(self.tokenizer, [PROBE_SPACES.join(PROBE)])
+        self.by_word = whole == self._ids(self.tokenizer, PROBE)
+        self.in_parts = self.by_word and whole == self._joined(PROBE)
         self.table = WordTable(self._encode_words, bound)
 
     @staticmethod
@@ -190,11 +203,19 @@ class TokenEncoder:
         texts = [" ".join(parts[i : i + step]).lower() for i in range(0, len(parts), step)]
         return self._ids(self.plain, texts)
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
+    def _bytes(self, texts: list[str]) -> list[bytes]:
+        kind = f"<u{self.width}"
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(c.ids, kind).tobytes() for c in coded]
+
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode() for w in words]
+        if not self.in_parts:
+            return self._bytes(texts)
         kind = f"<u{self.width}"
         coded: dict[str, bytes] = {}
         plain, parts, counts = [], [], []
-        for word in words:
+        for word in texts:
             if m := _PLAIN.fullmatch(word):
                 own = [p for p in m.groups() if p]
                 plain.append(word)
@@ -208,13 +229,15 @@ class TokenEncoder:
             for word, end in zip(plain, (cuts[wanted] * size).tolist(), strict=True):
                 coded[word] = raw[begin:end]
                 begin = end
-        rest = [w for w in words if w not in coded]
-        for word, c in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            coded[word] = np.array(c.ids, kind).tobytes()
-        return [coded[w] for w in words]
+        rest = [w for w in texts if w not in coded]
+        coded.update(zip(rest, self._bytes(rest), strict=True))
+        return [coded[w] for w in texts]
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        return encode_texts(texts, _WORD.findall, self.table)
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text, given in UTF-8; bytes split at exactly ASCII white space."""
+        if self.by_word:
+            return encode_texts(texts, bytes.split, self.table)
+        return iter(self._bytes([t.decode() for t in texts]))
 
 
 def encoder(path: str) -> TokenEncoder:
@@ -245,7 +268,7 @@ def write_tokens(
             )
 
         for batch in batches:
-            texts = tokens.encode(batch.column(1).to_pylist())
+            texts = tokens.encode(batch.column(1).cast(pa.binary()).to_pylist())
             for doc_id, coded in zip(batch.column(0).to_pylist(), texts, strict=True):
                 doc_ids.append(doc_id)
                 parts += (coded, end)
@@ -277,16 +300,17 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = False) -> Dat
         out = {"shard": [], "doc_id": [], "local": [], "n_tokens": [], "ids_crc32": [], "ids": []}
         for shard, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             block = Block(data)
-            ends = block.ends.select_all().astype(np.int64)
-            begins = np.concatenate(([0], ends[:-1]))
             ids = block.ids.astype("<u4")
-            out["shard"] += [shard] * len(ends)
-            out["doc_id"] += block.doc_ids
-            out["local"] += (begins + block.start).tolist()
-            out["n_tokens"] += (ends - begins).tolist()
-            out["ids_crc32"] += [zlib.crc32(ids[b:e]) for b, e in zip(begins, ends, strict=True)]
-            if with_ids:
-                out["ids"] += [ids[b:e] for b, e in zip(begins, ends, strict=True)]
+            begin = 0
+            for doc_id, end in zip(block.doc_ids, block.ends, strict=True):
+                out["shard"].append(shard)
+                out["doc_id"].append(doc_id)
+                out["local"].append(block.start + begin)
+                out["n_tokens"].append(end - begin)
+                out["ids_crc32"].append(zlib.crc32(ids[begin:end]))
+                if with_ids:
+                    out["ids"].append(ids[begin:end])
+                begin = end
         if not with_ids:
             del out["ids"]
         kinds = (pa.int32(), *[pa.int64()] * 4, pa.list_(pa.int32()))

@@ -10,7 +10,7 @@ GROUP_CHARS = 1 << 16
 
 
 class WordTable:
-    """Word -> encoded bytes.
+    """Word, as text or bytes -> encoded bytes.
 
     A word is kept from its second appearance on (a one-byte cell for its hash remembers the
     first), so that the many words that occur once do not push out the others.  Kept words
@@ -18,40 +18,46 @@ class WordTable:
     dropped.  Neither rule changes a result: a word that is not kept is encoded again.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], bound: int):
+    def __init__(self, encode_words: Callable[[list], list[bytes]], bound: int):
         self.encode_words, self.bound = encode_words, bound
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young: dict = {}
+        self.old: dict = {}
         self.door = bytearray(DOOR_CELLS)
 
-    def lookup(self, words: list[str]) -> list[bytes]:
+    def lookup(self, words: list) -> list[bytes]:
         """The encoded bytes of each word, by position."""
         if len(self.young) > self.bound:
             self.old, self.young, self.door = self.young, {}, bytearray(DOOR_CELLS)
         young, old, door = self.young, self.old, self.door
-        missing = []
-        for word in set(words).difference(young):
+        found = list(map(young.get, words))
+        gaps = [i for i, known in enumerate(found) if known is None]
+        if not gaps:
+            return found
+        coded, missing = {}, []
+        for word in {words[i] for i in gaps}:
             known = old.get(word)
             if known is None:
                 missing.append(word)
             else:
-                young[word] = known
+                young[word] = coded[word] = known
         if missing:
-            young.update(zip(missing, self.encode_words(missing), strict=True))
-        found = list(map(young.__getitem__, words))
-        for word in missing:
-            cell = hash(word) % DOOR_CELLS
-            if not door[cell]:
-                door[cell] = 1
-                del young[word]
+            for word, own in zip(missing, self.encode_words(missing), strict=True):
+                coded[word] = own
+                cell = hash(word) % DOOR_CELLS
+                if door[cell]:
+                    young[word] = own
+                else:
+                    door[cell] = 1
+        for i in gaps:
+            found[i] = coded[words[i]]
         return found
 
 
 def encode_texts(
-    texts: list[str], split: Callable[[str], list[str]], table: WordTable
+    texts: list, split: Callable[[str], list] | Callable[[bytes], list], table: WordTable
 ) -> Iterator[bytes]:
     """The joined bytes of each text's words; short texts are looked up together."""
-    words: list[str] = []
+    words: list = []
     ends: list[int] = []
     chars = 0
     for text in texts:

@@ -150,7 +150,7 @@ def test_digest_query_equals_plain_version(spark, sf_dir):
 def test_elias_fano_round_trip(gaps):
     values = np.cumsum(np.array(gaps, np.int64))
     ef = EliasFano.of(values)
-    assert ef.select_all().tolist() == values.tolist()
+    assert list(ef) == values.tolist()
     assert [ef.select(i) for i in range(0, len(values), 7)] == values[::7].tolist()
     if len(values) > 300:
         bits = 8 * (len(ef.low) + len(ef.high) + 4 * len(ef.hints))
@@ -168,12 +168,14 @@ ODD = ["", " ", "  a", "a ", "▁a", "a▁ b ▁", "\n a\tb", "a　b c", "<s>a</
        "<|endoftext|>a <|startoftext|>", "a.b,c Éx 12 ½ \x1c\x1d", "İ ΣΑΣ ﬁ ß", "x" * 5_000, LONG]
 
 
-def test_words_encode_as_whole_texts():
-    path = public_tokenizers.path(WORD_BPE)
+@pytest.mark.parametrize(("name", "by_word", "in_parts"), [(WORD_BPE, True, True), ("byte_bpe_50k.json", False, False)])
+def test_words_encode_as_whole_texts(name, by_word, in_parts):
+    path = public_tokenizers.path(name)
     whole = Tokenizer.from_file(path)
     for bound in (400_000, 3):
         coded = TokenEncoder(path, bound)
-        for text, got in zip(ODD, coded.encode(ODD), strict=True):
+        assert (coded.by_word, coded.in_parts) == (by_word, in_parts)
+        for text, got in zip(ODD, coded.encode([t.encode() for t in ODD]), strict=True):
             assert np.frombuffer(got, f"<u{coded.width}").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 

@@ -37,6 +37,8 @@ from tessera.session import BROADCAST_ROWS, hint_small, materialize
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 # Joins of a path table that are planned together before it is stored.
 JOINS_A_PLAN = 6
+# Nodes up to which a level's siblings go to all tasks, some 100 bytes each.
+SMALL_NODES = 10_000
 _ROWS_A_PARTITION = 33  # bits that monotonically_increasing_id gives to the row
 
 
@@ -142,7 +144,7 @@ def _levels(nodes: DataFrame, arity: int, size: _Size) -> list[DataFrame]:
     most, total = size.most, size.total
     levels = []
     while most > 1:
-        small = total <= BROADCAST_ROWS
+        small = total <= SMALL_NODES
         level = _with_siblings(nodes, arity, small)
         # A node is some 100 bytes, so that a small level is one file.
         level = materialize(level.coalesce(1) if small else level)

@@ -1,9 +1,7 @@
-"""Exact nearest-neighbour arithmetic on Arrow batches."""
+"""Exact nearest-neighbour arithmetic on blocks of vectors."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 
@@ -18,41 +16,45 @@ def to_matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     return values.reshape(len(column), width)
 
 
-def nearest_in_batches(
-    batches: Iterator[pa.RecordBatch], query_ids: np.ndarray, queries: np.ndarray, k: int
-) -> Iterator[pa.RecordBatch]:
-    """Best `k` (squared distance, chunk_id) per query over one partition.
+class Nearest:
+    """The best `k` (squared distance, id) of each query over all rows offered so far.
 
-    A matrix product finds which rows can matter; only those distances are then
-    computed exactly, so equal vectors get equal distances.  Memory is the query
-    matrix plus k rows per query, whatever the partition size.
+    A matrix product finds which rows can matter; only those distances are then computed
+    exactly, so equal vectors get equal distances.  `bounds` are squared distances within
+    which k rows are known to lie, for each query; rows beyond need not be found.
     """
-    best_d = np.full((len(queries), k), np.inf)
-    best_c = np.full((len(queries), k), np.iinfo(np.int64).max, dtype=np.int64)
-    query_norms = (queries**2).sum(1)
-    for batch in batches:
-        ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
-        sizes = batch.column("embedding").value_lengths().to_numpy(zero_copy_only=False)
-        if len(ids) and (sizes != queries.shape[1]).any():
-            raise ValueError("query and chunk vectors differ in length")
-        rows = to_matrix(batch.column("embedding"), queries.shape[1])
+
+    def __init__(self, queries: np.ndarray, k: int, bounds: np.ndarray | None = None):
+        self.queries = queries
+        self.norms = (queries**2).sum(1)
+        self.limit = np.full(len(queries), np.inf) if bounds is None else bounds * (1 + 1e-9)
+        self.best_d = np.full((len(queries), k), np.inf)
+        self.best_c = np.full((len(queries), k), np.iinfo(np.int64).max, dtype=np.int64)
+
+    def bound(self) -> np.ndarray:
+        """Squared distance beyond which a row is not among a query's best."""
+        return np.minimum(self.best_d[:, -1], self.limit)
+
+    def offer(self, ids: np.ndarray, rows: np.ndarray, which: np.ndarray | None = None) -> None:
+        """Compares rows with the queries of number `which`, with all if none are given."""
+        which = np.arange(len(self.queries)) if which is None else which
+        queries, norms, k = self.queries[which], self.norms[which], self.best_d.shape[1]
         for first in range(0, len(ids), BLOCK_ROWS):
             part, part_ids = rows[first : first + BLOCK_ROWS], ids[first : first + BLOCK_ROWS]
-            norms = (part**2).sum(1)
-            rough = query_norms[:, None] + norms[None, :] - 2.0 * (queries @ part.T)
-            slack = 1e-9 * (query_norms.max() + norms.max() + 1.0)
-            bound = best_d[:, -1]
+            part_norms = (part**2).sum(1)
+            rough = norms[:, None] + part_norms[None, :] - 2.0 * (queries @ part.T)
+            slack = 1e-9 * (norms.max() + part_norms.max() + 1.0)
+            bound = self.bound()[which]
             if len(part) > k:
                 bound = np.minimum(bound, np.partition(rough, k - 1, axis=1)[:, k - 1] + slack)
             where_q, where_r = np.nonzero(rough <= (bound + slack)[:, None])
             exact = ((part[where_r] - queries[where_q]) ** 2).sum(1)
-            _merge(best_d, best_c, where_q, exact, part_ids[where_r])
-    found = best_c != np.iinfo(np.int64).max
-    which, _ = np.nonzero(found)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(query_ids[which]), pa.array(best_c[found]), pa.array(best_d[found])],
-        names=["query_id", "chunk_id", "distance"],
-    )
+            _merge(self.best_d, self.best_c, which[where_q], exact, part_ids[where_r])
+
+    def results(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query numbers, ids and squared distances found."""
+        found = self.best_c != np.iinfo(np.int64).max
+        return np.nonzero(found)[0], self.best_c[found], self.best_d[found]
 
 
 def _merge(best_d, best_c, where_q, exact, ids) -> None:

@@ -6,13 +6,12 @@ import time
 from collections.abc import Callable
 from typing import NamedTuple
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.functions import text as T
-from tessera.functions.vectors import nearest_in_batches
+from tessera.operators.blockjoin import nearest
 from tessera.operators.lexical import top_k
 from tessera.plans.state import dense_ids
 from tessera.session import CANDIDATE_ROWS, fits, hint_small, materialize
@@ -22,77 +21,25 @@ from tessera.sources.tables import replace_folder, upsert
 # A pandas UDF: text -> array<float>.
 Embedder = Callable[[Column], Column]
 
-# Query vectors per pass over the chunk vectors (64 MB at 2,048 dimensions).
-SLAB_ROWS = 4096
-SLAB_VALUES = 8_000_000
 EDGE_CELLS = 4096
 
 
 def knn_topk(queries: DataFrame, vec: DataFrame, k: int, model: str | None = None) -> DataFrame:
     """Exact nearest `k` chunks per query: (query_id, chunk_id, distance, semantic_rank).
 
-    `queries` has (query_id, query_vector).  Query vectors go to the tasks in
-    slabs of bounded size; each task scans its chunk vectors once per slab and
-    returns k rows per query, so no pair of rows is ever shuffled.
+    `queries` has (query_id, query_vector); rows given twice count once, and several vectors
+    of one query id share its `k` places.  Both tables are joined in blocks, see `blockjoin`.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     if model is not None:
         vec = vec.filter(F.col("embedding_model") == model)
-    vec = vec.select("chunk_id", "embedding")
-    schema = "query_id long, chunk_id long, distance double"
-    local = None
-    for ids, matrix in _slabs(queries):
-        part = vec.mapInArrow(_searcher(vec.sparkSession, ids, matrix, k), schema)
-        local = part if local is None else local.unionByName(part)
-    if local is None:
-        local = vec.sparkSession.createDataFrame([], schema)
-    return top_k(
-        local, k, ["query_id"], [F.asc("distance"), F.asc("chunk_id")], "semantic_rank"
+    found = nearest(
+        queries.select(F.col("query_id").cast("long").alias("id"), F.col("query_vector").alias("vector")),
+        vec.select(F.col("chunk_id").cast("long").alias("id"), F.col("embedding").alias("vector")),
+        k,
     )
-
-
-def _searcher(spark: SparkSession, ids: np.ndarray, matrix: np.ndarray, k: int):
-    shared = spark.sparkContext.broadcast((ids, matrix))
-
-    def search(batches):
-        query_ids, query_matrix = shared.value
-        return nearest_in_batches(batches, query_ids, query_matrix, k)
-
-    return search
-
-
-def _slabs(queries: DataFrame):
-    """Query vectors as (ids, matrix) blocks of bounded size.
-
-    The table is split by a hash of its rows when it exceeds one block; each block
-    is checked against the bound before it is read.  Rows given twice count once, so
-    that every split gets smaller.
-    """
-    q = queries.select("query_id", "query_vector").filter(F.col("query_vector").isNotNull()).distinct()
-    size = F.size("query_vector")
-    shape = q.agg(
-        F.count("*").alias("n"), F.max(size).alias("width"), F.min(size).alias("least")
-    ).first()
-    if not shape["n"]:
-        return
-    if shape["width"] != shape["least"]:
-        raise ValueError("query vectors differ in length")
-    rows = max(1, min(SLAB_ROWS, SLAB_VALUES // max(1, shape["width"])))
-    pending = [(1, 0)] if shape["n"] <= rows else [(1 << (shape["n"] // rows).bit_length(), None)]
-    if pending[0][1] is None:
-        pending = [(pending[0][0], i) for i in range(pending[0][0])]
-    while pending:
-        parts, number = pending.pop()
-        slab = q.filter(F.pmod(F.xxhash64("query_id", "query_vector"), F.lit(parts)) == number)
-        if not fits(slab, rows):
-            pending += [(parts * 2, number), (parts * 2, number + parts)]
-            continue
-        table = slab.orderBy("query_id").toArrow()
-        if table.num_rows:
-            vectors = table.column("query_vector").combine_chunks()
-            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            yield table.column("query_id").to_numpy(), flat.reshape(table.num_rows, -1)
+    return top_k(found, k, ["query_id"], [F.asc("distance"), F.asc("chunk_id")], "semantic_rank")
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame, small: bool) -> DataFrame:

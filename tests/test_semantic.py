@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import schemas
+from tessera.operators import blockjoin
 from tessera.operators import semantic as S
 from tests.stubs import axes
 
@@ -20,9 +21,10 @@ def chunks(spark, rows):
     return spark.createDataFrame(rows, "chunk_id long, document_id long, text string")
 
 
-@pytest.mark.parametrize("slab", [4096, 7])
-def test_knn_equals_brute_force(spark, monkeypatch, slab):
-    monkeypatch.setattr(S, "SLAB_ROWS", slab)
+@pytest.mark.parametrize(("values", "blocks"), [(1 << 18, 16), (60, 2)])
+def test_knn_equals_brute_force(spark, monkeypatch, values, blocks):
+    monkeypatch.setattr(blockjoin, "BLOCK_VALUES", values)
+    monkeypatch.setattr(blockjoin, "SLICE_BLOCKS", blocks)
     rng = np.random.default_rng(3)
     data = rng.normal(size=(300, 6)).astype(np.float32)
     data[50:60] = data[10]  # ties
@@ -148,8 +150,39 @@ def test_query_vectors_are_checked(spark):
         S.knn_topk(ragged, vec, 1)
 
 
+def test_ragged_chunk_vectors_are_refused(spark):
+    schema = "query_id long, query_vector array<float>"
+    q = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], schema)
+    with pytest.raises(ValueError, match="length"):
+        S.knn_topk(q, vectors(spark, [(1, [1, 0, 0]), (2, [1, 0])]), 1)
+    with pytest.raises(ValueError, match="length"):
+        S.knn_topk(q, vectors(spark, [(1, [1, 0])]), 1)
+
+
+def test_far_blocks_are_never_paired(spark, monkeypatch):
+    monkeypatch.setattr(blockjoin, "BLOCK_VALUES", 40)
+    rng = np.random.default_rng(5)
+    centres = 100.0 * np.eye(4)[np.arange(240) % 4]
+    data = centres + rng.normal(size=(240, 4))
+    schema = "id long, vector array<double>"
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], schema)
+    shape = blockjoin.Shape(240, 4)
+    pivots = blockjoin.choose_pivots(table, shape)
+    held = blockjoin.packed(table, shape, pivots)
+    homes = blockjoin.home_pairs(held, held, pivots, 3)
+    first = blockjoin._first_pass(held, held, homes, pivots, 4, 3)
+    total, needed = held.count() ** 2, blockjoin.needed_pairs(first, held).count()
+    assert held.count() >= 24 and needed <= total / 3
+    got = {}
+    for r in blockjoin.nearest(table, table, 3).collect():
+        got.setdefault(r.query_id, []).append((r.distance, r.chunk_id))
+    for i in range(240):
+        d = ((data - data[i]) ** 2).sum(1)
+        assert [c for _, c in sorted(got[i])[:3]] == list(np.lexsort((np.arange(240), d))[:3])
+
+
 def test_repeated_query_ids_end(spark, monkeypatch):
-    monkeypatch.setattr(S, "SLAB_ROWS", 2)
+    monkeypatch.setattr(blockjoin, "BLOCK_VALUES", 6)
     rows = [(1, [1.0, 0.0, 0.0])] * 5 + [(2, [0.0, 1.0, 0.0])] * 3
     q = spark.createDataFrame(rows, "query_id long, query_vector array<float>")
     got = S.knn_topk(q, vectors(spark, [(5, [1, 0, 0]), (6, [0, 1, 0])]), 1).collect()

@@ -295,7 +295,7 @@ RERANKED = [
 ]
 
 
-def final_ctes(source: str, name: str, limit: int, cap: int) -> list[str]:
+def final_ctes(source: str, name: str, limit: int | str, cap: int) -> list[str]:
     return [
         f"""{name} AS MATERIALIZED (
   SELECT * EXCLUDE (final_rank, nth), row_number() OVER (PARTITION BY query_id
@@ -312,14 +312,16 @@ FINAL = [*RERANKED, *final_ctes("reranked", "final", 8, 2)]
 
 ANSWER_ROWS = [
     """q AS (SELECT item_id AS query_id, text AS query_text FROM benchmark UNION ALL
-  SELECT DISTINCT 1000000 + doc_id, 'doc_' || doc_id || '.txt' FROM labels)""",
+  SELECT DISTINCT 1000000 + doc_id, CASE WHEN doc_id % 2 = 0 THEN 'doc_' || doc_id || '.txt'
+    ELSE 'about doc ' || doc_id END FROM labels UNION ALL
+  SELECT DISTINCT 2000000 + doc_id, 'zqxj' || doc_id FROM labels WHERE doc_id % 10 = 0)""",
     *TOKENS,
     *BM25,
     *lexical_ctes(10),
-    """semantic AS (SELECT NULL::BIGINT AS query_id, NULL::BIGINT AS chunk_id,
-  NULL::DOUBLE AS semantic_score, NULL::BIGINT AS semantic_rank WHERE false)""",
+    *semantic_ctes(10, "semantic_all"),
+    "semantic AS (SELECT * FROM semantic_all WHERE query_id < 2000000)",
     *RERANKED[len(ARMS):],
-    *final_ctes("reranked", "shown", 5, 2),
+    *final_ctes("reranked", "shown", "CASE WHEN query_id < 1000000 THEN 5 ELSE 1 END", 2),
     *collapse_ctes("shown", "context"),
 ]
 GATED = [

@@ -942,18 +942,24 @@ RESPONSES = (
 )
 
 
-FIRST_NAME_QUERY = 1_000_000
+FIRST_NAME_QUERY, FIRST_UNMATCHED_QUERY = 1_000_000, 2_000_000
 
 
 def answer_queries(spark, sf_dir):
-    """The benchmark passages, and the file name of every labelled document."""
-    names = table(spark, sf_dir, "labels").select("doc_id").distinct()
-    return queries(spark, sf_dir).unionByName(
-        names.select(
-            (F.col("doc_id") + FIRST_NAME_QUERY).alias("query_id"),
-            F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("query_text"),
-        )
+    """The benchmark passages; for labelled documents the file name, or words about it, and a
+    word that no document has."""
+    labelled = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    even, number = F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")
+    name = F.when(even, F.concat(F.lit("doc_"), number, F.lit(".txt"))).otherwise(F.concat(F.lit("about doc "), number))
+    names = labelled.select(
+        (F.col("doc_id") + FIRST_NAME_QUERY).alias("query_id"),
+        name.alias("query_text"),
+    )
+    unmatched = labelled.where("doc_id % 10 = 0").select(
+        (F.col("doc_id") + FIRST_UNMATCHED_QUERY).alias("query_id"),
+        F.concat(F.lit("zqxj"), number).alias("query_text"),
     )
+    return queries(spark, sf_dir).unionByName(names).unionByName(unmatched)
 
 
 def responses(q: DataFrame, shift: int = 0) -> DataFrame:
@@ -971,12 +977,16 @@ def gated(spark, sf_dir):
 
 
 def answer_results(spark, sf_dir):
-    """Hybrid ranking without stored vectors: lists of every length, some empty."""
+    """Hybrid rankings: five rows of a passage, one of a name; lexical ones of the other words."""
 
     def build():
-        corpus = stored_corpus(spark, sf_dir)
-        found = Backends(corpus.index, corpus.vectors.limit(0), letter_profile, MODEL, word_share)
-        return search(answer_queries(spark, sf_dir), "hybrid", found, 5)
+        found, q = backends(spark, sf_dir), answer_queries(spark, sf_dir)
+        number = F.col("query_id")
+        named = (number >= FIRST_NAME_QUERY) & (number < FIRST_UNMATCHED_QUERY)
+        passages = search(q.where(number < FIRST_NAME_QUERY), "hybrid", found, 5)
+        names = search(q.where(named), "hybrid", found, 1)
+        words = search(q.where(number >= FIRST_UNMATCHED_QUERY), "lexical", found, 5)
+        return passages.unionByName(names).unionByName(words, allowMissingColumns=True)
 
     return saved_run(spark, sf_dir, "answer-results", build)
 

@@ -5,6 +5,11 @@ keeps phrase positions, and a query touches only the rows of its own tokens.
 On disk it is partitioned by a hash of the token, so that a search prunes whole
 directories, and each directory is spread over files by chunk, so that a very
 common token never becomes one large file or one large task.
+
+`blocks` holds what a ranking needs of single words: one row for each token and segment of
+the chunks (`SEGMENT_DOCUMENTS` documents, and so many chunks of one), with each chunk's
+weighted occurrences and length, and the greatest and least of these.  They bound what the
+token can add to the score of any chunk there, so that a search may leave blocks unread.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.chunking import CHUNK_ORDINALS
 from tessera.session import materialize
 
 # --- fixed values: field weights of the ranking ------------------------------
@@ -31,7 +37,9 @@ FIELDS = (
     ("text", BODY_WEIGHT),
 )
 TOKEN_BUCKETS = 256
-TABLES = ("chunks", "postings", "vocabulary", "stats")
+SEGMENT_DOCUMENTS = 64
+SEGMENT_CHUNKS = 1024  # of one document
+TABLES = ("chunks", "postings", "vocabulary", "stats", "blocks")
 
 
 @dataclass(frozen=True)
@@ -40,6 +48,7 @@ class LexicalIndex:
     postings: DataFrame  # token, next_token, bucket, chunk_id, field, position, chunk_tokens
     vocabulary: DataFrame  # token, chunk_count
     stats: DataFrame  # one row: chunk_count, average_tokens
+    blocks: DataFrame  # token, bucket, segment, max_hits, min_tokens, entries
 
 
 def field_weight(field: Column) -> Column:
@@ -53,6 +62,29 @@ def token_bucket(token: Column) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(TOKEN_BUCKETS)).cast("int")
 
 
+def segment_of(chunk_id: Column) -> Column:
+    """Number of the segment that a chunk id lies in."""
+    ordinals = CHUNK_ORDINALS // SEGMENT_CHUNKS
+    document = F.floor(chunk_id / F.lit(CHUNK_ORDINALS)).cast("long")
+    part = F.floor(F.pmod(chunk_id, F.lit(CHUNK_ORDINALS)) / F.lit(SEGMENT_CHUNKS)).cast("long")
+    return F.floor(document / F.lit(SEGMENT_DOCUMENTS)).cast("long") * ordinals + part
+
+
+def impact_blocks(postings: DataFrame) -> DataFrame:
+    """The blocks of the postings; occurrences are added up where they are read."""
+    keys = ("bucket", "token", "chunk_id", "chunk_tokens")
+    entries = postings.groupBy(*keys).agg(F.sum(field_weight(F.col("field"))).alias("hits"))
+    return (
+        entries.groupBy("bucket", "token", segment_of(F.col("chunk_id")).alias("segment"))
+        .agg(
+            F.max("hits").alias("max_hits"),
+            F.min("chunk_tokens").alias("min_tokens"),
+            F.collect_list(F.struct("chunk_id", "hits", "chunk_tokens")).alias("entries"),
+        )
+        .select("token", "bucket", "segment", "max_hits", "min_tokens", "entries")
+    )
+
+
 def describe_chunks(ch: DataFrame, doc: DataFrame | None = None) -> DataFrame:
     """Chunks with title and path of their document; joins only when they lack them."""
     if not {"title", "source_path"} <= set(ch.columns):
@@ -123,7 +155,8 @@ def _derived(tokenized: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def build_index(ch: DataFrame, doc: DataFrame | None = None) -> LexicalIndex:
     """Index of all chunks, as lazy plans; see `write_index` to store it."""
     chunks = describe_chunks(ch, doc)
-    return LexicalIndex(chunks, *_derived(_tokenized(chunks)))
+    postings, vocabulary, stats = _derived(_tokenized(chunks))
+    return LexicalIndex(chunks, postings, vocabulary, stats, impact_blocks(postings))
 
 
 def refresh_index(
@@ -168,7 +201,14 @@ def refresh_index(
         .agg(F.sum("n").alias("chunk_count"), F.sum("t").alias("tokens"))
         .select("chunk_count", F.try_divide("tokens", "chunk_count").alias("average_tokens"))
     )
-    return LexicalIndex(kept.unionByName(changed), postings, vocabulary, stats)
+    # Blocks are made again for the segments that lost or got a chunk; the others stay.
+    moved = old.select("chunk_id").unionByName(changed.select("chunk_id"))
+    moved = moved.select(segment_of(F.col("chunk_id")).alias("segment")).distinct()
+    there = postings.withColumn("segment", segment_of(F.col("chunk_id")))
+    blocks = index.blocks.join(moved, "segment", "left_anti").unionByName(
+        impact_blocks(there.join(moved, "segment", "left_semi").drop("segment"))
+    )
+    return LexicalIndex(kept.unionByName(changed), postings, vocabulary, stats, blocks)
 
 
 def write_index(index: LexicalIndex, path: str) -> None:
@@ -186,6 +226,13 @@ def write_index(index: LexicalIndex, path: str) -> None:
         f"{path}/vocabulary"
     )
     index.stats.write.parquet(f"{path}/stats")
+    by_segment = F.pmod(F.xxhash64("segment"), F.lit(16))
+    (
+        index.blocks.repartition("bucket", by_segment)
+        .sortWithinPartitions("bucket", "token", "segment")
+        .write.partitionBy("bucket")
+        .parquet(f"{path}/blocks")
+    )
 
 
 def read_index(spark: SparkSession, path: str) -> LexicalIndex:
@@ -197,4 +244,5 @@ def materialize_index(index: LexicalIndex) -> LexicalIndex:
     chunks = materialize(index.chunks)
     # Texts are tokenised once; all three tables derive from the stored tokens.
     tokenized = materialize(_tokenized(chunks))
-    return LexicalIndex(chunks, *(materialize(df) for df in _derived(tokenized)))
+    postings, vocabulary, stats = (materialize(df) for df in _derived(tokenized))
+    return LexicalIndex(chunks, postings, vocabulary, stats, materialize(impact_blocks(postings)))

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators.index import LexicalIndex, field_weight, token_bucket
-from tessera.session import BROADCAST_ROWS, CANDIDATE_ROWS, hint_small, materialize
+from tessera.operators.index import LexicalIndex, field_weight, segment_of, token_bucket
+from tessera.session import BROADCAST_ROWS, CANDIDATE_ROWS, fits, hint_small, materialize
 
 # --- fixed values -----------------------------------------------------------
 EXACT_TITLE_BONUS = 25.0
@@ -168,12 +168,113 @@ def bm25_scores(index: LexicalIndex, clauses: DataFrame, shape: QueryShape) -> D
     weighted = clauses.join(counts, "phrase").select(
         "query_id", "phrase", (F.col("times") * idf(total, F.col("chunk_count"))).alias("weight")
     )
-    length_norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("chunk_tokens") / average)
-    part = F.col("weight") * F.col("hits") * (BM25_K1 + 1) / (F.col("hits") + length_norm)
+    part = F.floor(F.col("weight") * saturation(F.col("hits"), F.col("chunk_tokens"), average) * SCORE_UNIT)
     return (
         hits.join(hint_small(weighted, shape.small), "phrase")
         .groupBy("query_id", "chunk_id")
-        .agg(F.sum(F.floor(part * SCORE_UNIT)).alias("units"))
+        .agg(F.sum(part).alias("units"))
+        .select("query_id", "chunk_id", (F.col("units") / SCORE_UNIT).alias("score"))
+    )
+
+
+def saturation(hits: Column, tokens: Column, average: Column) -> Column:
+    """Grows with the hits and falls with the length of the chunk."""
+    length_norm = BM25_K1 * (1 - BM25_B + BM25_B * tokens / average)
+    return hits * (BM25_K1 + 1) / (hits + length_norm)
+
+
+def best_scores(index: LexicalIndex, clauses: DataFrame, k: int, shape: QueryShape) -> DataFrame:
+    """(query_id, chunk_id, score) that hold the `k` best chunks of each query, exactly scored.
+
+    Upper bounds leave out most of the common words' postings.  Each query's rarest clauses,
+    those with the first k postings or so, give k chunks a part of their score; the k-th of
+    these is a score t that the k best all reach.  Of the words, taken from the least they can
+    add to any chunk, as many as add up to less than t are *optional*: a chunk that holds
+    nothing else can't be among the best.  So only the other clauses' postings are read for
+    candidates; a candidate whose score with all optional words at their greatest stays
+    below t goes, and the optional words are looked up in the segments of those left.
+    """
+    phrases = clauses.select("phrase").distinct()
+    several = F.contains("phrase", F.lit(" "))
+    hits = None
+    if shape.phrases:
+        hits = materialize(phrase_hits(index, phrases.filter(several), shape))
+    counts = phrase_counts(index, phrases, shape, hits)
+    total = index.stats.select("chunk_count").scalar()
+    average = index.stats.select("average_tokens").scalar()
+    weight = F.col("times") * idf(total, F.col("chunk_count"))
+    weighted = materialize(
+        clauses.join(counts, "phrase").select("query_id", "phrase", "chunk_count", weight.alias("weight"))
+    )
+
+    def units(hits: Column, tokens: Column) -> Column:
+        return F.floor(F.col("weight") * saturation(hits, tokens, average) * SCORE_UNIT)
+
+    # The most that a word adds anywhere, from the blocks' bounds alone.
+    words = weighted.filter(~several).withColumn("token", F.col("phrase")).withColumn("bucket", token_bucket(F.col("phrase")))
+    tokens = words.select("bucket", "token").distinct()
+    most = saturation(F.max("max_hits"), F.min("min_tokens"), average)
+    tops = (
+        index.blocks.select("bucket", "token", "max_hits", "min_tokens")
+        .join(hint_small(tokens, shape.small), ["bucket", "token"])
+        .groupBy("token").agg(most.alias("top"))
+    )
+    rare = Window.partitionBy("query_id").orderBy("chunk_count", "phrase").rowsBetween(Window.unboundedPreceding, -1)
+    words = materialize(
+        words.join(hint_small(tops, shape.small), "token")
+        .withColumn("most", F.floor(F.col("weight") * F.col("top") * SCORE_UNIT) + 1)
+        .withColumn("rarer", F.coalesce(F.sum("chunk_count").over(rare), F.lit(0)))
+    )
+
+    def added(wanted: DataFrame) -> DataFrame:
+        """(query_id, chunk_id, units) of the wanted words and of all phrases."""
+        found = (
+            index.blocks.select("bucket", "token", "entries")
+            .join(hint_small(wanted.select("query_id", "token", "bucket", "weight"), shape.small), ["bucket", "token"])
+            .select("query_id", "weight", F.inline("entries"))
+            .select("query_id", "chunk_id", units(F.col("hits"), F.col("chunk_tokens")).alias("units"))
+        )
+        if hits is not None:
+            matched = hits.join(hint_small(weighted.filter(several), shape.small), "phrase")
+            found = found.unionByName(
+                matched.select("query_id", "chunk_id", units(F.col("hits"), F.col("chunk_tokens")).alias("units"))
+            )
+        return found.groupBy("query_id", "chunk_id").agg(F.sum("units").alias("units"))
+
+    first = top_k(added(words.filter(F.col("rarer") < k)), k, ["query_id"], [F.desc("units"), F.asc("chunk_id")], "place")
+    reached = first.filter(F.col("place") == k).select("query_id", F.col("units").alias("reached"))
+    least = Window.partitionBy("query_id").orderBy("most", "phrase").rowsBetween(Window.unboundedPreceding, 0)
+    words = materialize(
+        words.join(hint_small(reached, shape.small), "query_id", "left")
+        .withColumn("reached", F.coalesce("reached", F.lit(0)))
+        .withColumn("up_to", F.sum("most").over(least))
+    )
+    optional, needed = words.filter("up_to < reached"), words.filter("up_to >= reached")
+    rest = optional.groupBy("query_id").agg(F.sum("most").alias("rest"), F.max("reached").alias("reached"))
+    candidates = materialize(
+        added(needed)
+        .join(hint_small(rest, shape.small), "query_id", "left")
+        .filter("reached IS NULL OR units + rest >= reached")
+        .select("query_id", "chunk_id", "units")
+    )
+    optional = optional.select("query_id", "token", "bucket", "weight")
+    wanted = candidates.select("query_id", "chunk_id", segment_of(F.col("chunk_id")).alias("segment")).join(
+        hint_small(optional, shape.small), "query_id"
+    )
+    # Few of them prune the stored blocks by their buckets.
+    few = shape.small and fits(wanted, CANDIDATE_ROWS)
+    looked_up = (
+        index.blocks.select("bucket", "token", "segment", "entries")
+        .join(hint_small(wanted, few), ["bucket", "token", "segment"])
+        .select("query_id", "chunk_id", "weight",
+                F.get(F.filter("entries", lambda e: e["chunk_id"] == F.col("chunk_id")), F.lit(0)).alias("e"))
+        .filter("e IS NOT NULL")
+        .select("query_id", "chunk_id", units(F.col("e.hits"), F.col("e.chunk_tokens")).alias("units"))
+    )
+    return (
+        candidates.unionByName(looked_up)
+        .groupBy("query_id", "chunk_id")
+        .agg(F.sum("units").alias("units"))
         .select("query_id", "chunk_id", (F.col("units") / SCORE_UNIT).alias("score"))
     )
 
@@ -188,9 +289,10 @@ def bm25_candidates(
     q: DataFrame, index: LexicalIndex, limit: int, shape: QueryShape
 ) -> DataFrame:
     clauses = match_clauses(parse_queries(q))
+    fetched = max(limit, limit * FETCH_MULTIPLIER)
     return top_k(
-        bm25_scores(index, clauses, shape),
-        max(limit, limit * FETCH_MULTIPLIER),
+        best_scores(index, clauses, fetched, shape),
+        fetched,
         ["query_id"],
         [F.desc("score"), F.asc("chunk_id")],
         "candidate_rank",

@@ -25,6 +25,10 @@ IDF_FLOOR = 1e-6
 # Scores are added as whole numbers of 1e-13, so that the sum does not depend on
 # the order of its terms and equal texts tie exactly.
 SCORE_UNIT = 1e13
+# Rows of single words' postings, over all queries, that are read without looking for bounds;
+# and the share of them that bounds must save to be worth the look-ups.
+READ_WHOLE = 50_000_000
+WORTH = 0.5
 
 
 def parse_queries(q: DataFrame) -> DataFrame:
@@ -192,7 +196,9 @@ def best_scores(index: LexicalIndex, clauses: DataFrame, k: int, shape: QuerySha
     add to any chunk, as many as add up to less than t are *optional*: a chunk that holds
     nothing else can't be among the best.  So only the other clauses' postings are read for
     candidates; a candidate whose score with all optional words at their greatest stays
-    below t goes, and the optional words are looked up in the segments of those left.
+    below t goes, and the optional words are looked up in the segments of those left.  Where
+    there is little to read, or little to save as in very long queries, all words' blocks are
+    read and added up; the scores are the same.
     """
     phrases = clauses.select("phrase").distinct()
     several = F.contains("phrase", F.lit(" "))
@@ -210,21 +216,7 @@ def best_scores(index: LexicalIndex, clauses: DataFrame, k: int, shape: QuerySha
     def units(hits: Column, tokens: Column) -> Column:
         return F.floor(F.col("weight") * saturation(hits, tokens, average) * SCORE_UNIT)
 
-    # The most that a word adds anywhere, from the blocks' bounds alone.
     words = weighted.filter(~several).withColumn("token", F.col("phrase")).withColumn("bucket", token_bucket(F.col("phrase")))
-    tokens = words.select("bucket", "token").distinct()
-    most = saturation(F.max("max_hits"), F.min("min_tokens"), average)
-    tops = (
-        index.blocks.select("bucket", "token", "max_hits", "min_tokens")
-        .join(hint_small(tokens, shape.small), ["bucket", "token"])
-        .groupBy("token").agg(most.alias("top"))
-    )
-    rare = Window.partitionBy("query_id").orderBy("chunk_count", "phrase").rowsBetween(Window.unboundedPreceding, -1)
-    words = materialize(
-        words.join(hint_small(tops, shape.small), "token")
-        .withColumn("most", F.floor(F.col("weight") * F.col("top") * SCORE_UNIT) + 1)
-        .withColumn("rarer", F.coalesce(F.sum("chunk_count").over(rare), F.lit(0)))
-    )
 
     def added(wanted: DataFrame) -> DataFrame:
         """(query_id, chunk_id, units) of the wanted words and of all phrases."""
@@ -241,6 +233,24 @@ def best_scores(index: LexicalIndex, clauses: DataFrame, k: int, shape: QuerySha
             )
         return found.groupBy("query_id", "chunk_id").agg(F.sum("units").alias("units"))
 
+    whole = words.agg(F.coalesce(F.sum("chunk_count"), F.lit(0))).first()[0]
+    if whole <= READ_WHOLE:
+        return _scored(added(words))
+
+    # The most that a word adds anywhere, from the blocks' bounds alone.
+    tokens = words.select("bucket", "token").distinct()
+    most = saturation(F.max("max_hits"), F.min("min_tokens"), average)
+    tops = (
+        index.blocks.select("bucket", "token", "max_hits", "min_tokens")
+        .join(hint_small(tokens, shape.small), ["bucket", "token"])
+        .groupBy("token").agg(most.alias("top"))
+    )
+    rare = Window.partitionBy("query_id").orderBy("chunk_count", "phrase").rowsBetween(Window.unboundedPreceding, -1)
+    words = materialize(
+        words.join(hint_small(tops, shape.small), "token")
+        .withColumn("most", F.floor(F.col("weight") * F.col("top") * SCORE_UNIT) + 1)
+        .withColumn("rarer", F.coalesce(F.sum("chunk_count").over(rare), F.lit(0)))
+    )
     first = top_k(added(words.filter(F.col("rarer") < k)), k, ["query_id"], [F.desc("units"), F.asc("chunk_id")], "place")
     reached = first.filter(F.col("place") == k).select("query_id", F.col("units").alias("reached"))
     least = Window.partitionBy("query_id").orderBy("most", "phrase").rowsBetween(Window.unboundedPreceding, 0)
@@ -250,6 +260,9 @@ def best_scores(index: LexicalIndex, clauses: DataFrame, k: int, shape: QuerySha
         .withColumn("up_to", F.sum("most").over(least))
     )
     optional, needed = words.filter("up_to < reached"), words.filter("up_to >= reached")
+    saved = optional.agg(F.coalesce(F.sum("chunk_count"), F.lit(0))).first()[0]
+    if saved < WORTH * whole:
+        return _scored(added(words))
     rest = optional.groupBy("query_id").agg(F.sum("most").alias("rest"), F.max("reached").alias("reached"))
     candidates = materialize(
         added(needed)
@@ -271,12 +284,12 @@ def best_scores(index: LexicalIndex, clauses: DataFrame, k: int, shape: QuerySha
         .filter("e IS NOT NULL")
         .select("query_id", "chunk_id", units(F.col("e.hits"), F.col("e.chunk_tokens")).alias("units"))
     )
-    return (
-        candidates.unionByName(looked_up)
-        .groupBy("query_id", "chunk_id")
-        .agg(F.sum("units").alias("units"))
-        .select("query_id", "chunk_id", (F.col("units") / SCORE_UNIT).alias("score"))
-    )
+    found = candidates.unionByName(looked_up)
+    return _scored(found.groupBy("query_id", "chunk_id").agg(F.sum("units").alias("units")))
+
+
+def _scored(units: DataFrame) -> DataFrame:
+    return units.select("query_id", "chunk_id", (F.col("units") / SCORE_UNIT).alias("score"))
 
 
 def top_k(df: DataFrame, k: int, keys: list[str], order: list[Column], rank: str) -> DataFrame:

@@ -922,6 +922,9 @@ def oracle_sql() -> dict[str, str]:
       count(*) FILTER (lang = 'fr') AS docs_added, count(*) FILTER (lang = 'de') AS docs_updated,
       count(*) FILTER (lang = 'en') AS docs_unchanged, count(*) FILTER (lang = 'es') AS docs_deleted,
       0 AS docs_failed FROM documents"""
+    sql["ingest_dry_run"] = sql["ingest_run"]
+    sql["scan_files"] = """SELECT doc_id, 'text' AS doc_type, sha256(coalesce(text, '') || chr(10)) AS content_hash,
+      'parsed' AS parse_status, length(coalesce(text, '')) + 1 AS characters FROM documents"""
     longer = "CASE WHEN lang = 'de' THEN text || ' One more sentence.' ELSE text END"
     after = (
         DOCS.replace(f"{PATH} AS source_path", f"'/corpus/' || {PATH} AS source_path")

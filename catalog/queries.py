@@ -44,6 +44,8 @@ from tessera.plans.search import Backends, ask, inspect, search
 from tessera.plans.state import CorpusState, empty_state
 from tessera.session import intermediate_folder, materialize, spread
 from tessera.sources.artifacts import complete_golden
+from tessera.sources.files import decode_text, describe_files
+from tessera.sources.files import scan_files as files_below
 from tessera.sources.html import extract_html
 from tessera.sources.paged import assemble_pages
 from tessera.sources.tables import duplicate_keys, upsert
@@ -755,6 +757,37 @@ def ingest_run(spark, sf_dir):
     return second_ingest(spark, sf_dir, "run")
 
 
+@register
+def ingest_dry_run(spark, sf_dir):
+    """The counts of the second ingest, run dry; the state stays as it was."""
+
+    def build():
+        first = ingest_files(text_files(spark, sf_dir, "fr", False), ["/corpus"], empty_state(spark))
+        state = CorpusState(*(materialize(getattr(first.state, f.name)) for f in fields(CorpusState)))
+        dry = ingest_files(text_files(spark, sf_dir, "es", True), ["/corpus"], state, dry_run=True)
+        if dry.state is not state:
+            raise ValueError("a dry run made a new state")
+        return dry.run
+
+    return saved_run(spark, sf_dir, "ingest-dry", build)
+
+
+@register
+def scan_files(spark, sf_dir):
+    """Every document written to a file of its own, found, read and decoded again."""
+    folder = f"{intermediate_folder(spark)}/{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs.write.partitionBy("doc_id").text(folder)
+    found = decode_text(describe_files(files_below(spark, [folder])))
+    return found.select(
+        F.regexp_extract("source_path", "doc_id=([0-9]+)/", 1).cast("long").alias("doc_id"),
+        "doc_type",
+        "content_hash",
+        "parse_status",
+        F.length("raw").cast("long").alias("characters"),
+    )
+
+
 @register
 def ingest_documents(spark, sf_dir):
     return second_ingest(spark, sf_dir, "documents").select(

@@ -933,6 +933,12 @@ def oracle_sql() -> dict[str, str]:
     )
     sql["ingest_index"] = statement(vocabulary, after, *TOKENS[1:])
     sql["event_stream"] = "SELECT event_id, user_id, event_type, value FROM events"
+    sql["event_numbers"] = """SELECT event_id AS id, user_id AS job_id, row_number() OVER (PARTITION BY user_id
+      ORDER BY event_type IS DISTINCT FROM 'view', ts, event_id) AS sequence,
+      CASE WHEN event_type = 'view' THEN 0 ELSE 1 END AS batch_id FROM events"""
+    sql["ingest_stream_runs"] = """SELECT run_id, count(*) AS docs_seen, count(*) AS docs_added, 0 AS docs_updated,
+      0 AS docs_unchanged, 0 AS docs_failed
+      FROM (SELECT CASE WHEN lang = 'en' THEN 1 ELSE 2 END AS run_id FROM documents) GROUP BY run_id"""
     sql["duplicate_texts"] = """SELECT sha256(text) AS content_hash, count(*) AS count FROM documents
       GROUP BY text HAVING count(*) > 1"""
     sql["eval_cases"] = statement(

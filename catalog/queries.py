@@ -41,7 +41,7 @@ from tessera.operators.index import (
 from tessera.plans import reconcile as P
 from tessera.plans.ingest import ingest_files
 from tessera.plans.search import Backends, ask, inspect, search
-from tessera.plans.state import CorpusState, empty_state
+from tessera.plans.state import CorpusState, SnapshotLog, empty_state
 from tessera.session import intermediate_folder, materialize, spread
 from tessera.sources.artifacts import complete_golden
 from tessera.sources.files import decode_text, describe_files
@@ -49,7 +49,13 @@ from tessera.sources.files import scan_files as files_below
 from tessera.sources.html import extract_html
 from tessera.sources.paged import assemble_pages
 from tessera.sources.tables import duplicate_keys, upsert
-from tessera.streaming.jobs import copy_events, stream_events
+from tessera.streaming.jobs import (
+    copy_events,
+    ingest_stream,
+    number_stream,
+    numbered_events,
+    stream_events,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -806,17 +812,82 @@ def ingest_index(spark, sf_dir):
     return second_ingest(spark, sf_dir, "index")
 
 
+def arrivals(spark, rows: DataFrame, parts: tuple[str, ...], write, run) -> str:
+    """Lands the rows of each condition in one folder and runs a stream after each landing."""
+    folder = f"{intermediate_folder(spark)}/{uuid.uuid4().hex}"
+    for part in parts:
+        write(rows.filter(part), f"{folder}/in")
+        run(folder).awaitTermination()
+    return folder
+
+
+def append_parquet(rows: DataFrame, path: str) -> None:
+    rows.write.mode("append").parquet(path)
+
+
 @register
 def event_stream(spark, sf_dir):
-    """The event table delivered by a stream that stops when all is read."""
-    folder = f"{intermediate_folder(spark)}/{uuid.uuid4().hex}"
-    # A glob: the stream source takes folders and patterns, not one file.
-    path = f"{sf_dir}/events*.parquet"
-    events = stream_events(spark, path, spark.read.parquet(path).schema)
-    copy_events(events, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    """The event table delivered in two runs on one checkpoint: views first, then the others."""
+    events = table(spark, sf_dir, "events")
+
+    def run(folder):
+        tail = stream_events(spark, f"{folder}/in", events.schema)
+        return copy_events(tail, f"{folder}/out", f"{folder}/checkpoint")
+
+    parts = ("event_type = 'view'", "NOT event_type <=> 'view'")
+    folder = arrivals(spark, events, parts, append_parquet, run)
     return spark.read.parquet(f"{folder}/out").select("event_id", "user_id", "event_type", "value")
 
 
+@register
+def event_numbers(spark, sf_dir):
+    """Event numbers of each job that go on over two runs: views first, then the others."""
+    events = job_events(spark, sf_dir)
+
+    def run(folder):
+        tail = stream_events(spark, f"{folder}/in", events.schema, 10_000)
+        return number_stream(tail, f"{folder}/out", f"{folder}/checkpoint")
+
+    parts = ("event_type = 'view'", "NOT event_type <=> 'view'")
+    folder = arrivals(spark, events, parts, append_parquet, run)
+    return numbered_events(spark, f"{folder}/out").select("id", "job_id", "sequence", "batch_id")
+
+
+def streamed(spark, sf_dir) -> SnapshotLog:
+    """Every document as a file, ingested by a stream in two runs: English ones first.
+
+    After the second run its checkpoint forgets the last batch, which is then replayed.
+    """
+
+    def write(docs, path):
+        docs.drop("lang").write.mode("append").partitionBy("doc_id").text(path)
+
+    def log(folder):
+        return SnapshotLog(spark, f"{folder}/log")
+
+    def run(folder):
+        return ingest_stream(spark, f"{folder}/in", f"{folder}/checkpoint", log(folder), 1_000_000)
+
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")
+    )
+    folder = arrivals(spark, docs, ("lang = 'en'", "NOT lang <=> 'en'"), write, run)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    commits = hadoop(f"{folder}/checkpoint/commits")
+    store = commits.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.delete(hadoop(commits, "1"), False)
+    run(folder).awaitTermination()
+    return log(folder)
+
+
+@register
+def ingest_stream_runs(spark, sf_dir):
+    """The runs of a streamed ingest, one of whose batches came twice."""
+    return streamed(spark, sf_dir).latest().runs.select(
+        "run_id", "docs_seen", "docs_added", "docs_updated", "docs_unchanged", "docs_failed"
+    )
+
+
 @register
 def duplicate_texts(spark, sf_dir):
     return duplicate_keys(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.answers import _kind
 from tessera.operators.lexical import top_k
+from tessera.session import materialize
 
 # --- fixed values -----------------------------------------------------------
 RUN_TYPES = ("inspect", "ask", "debug-bundle")
@@ -180,36 +181,39 @@ def mark_stale(jobs: DataFrame, now: Column, after: str = STALE_AFTER) -> DataFr
     ).withColumn("status", F.when(stale, "interrupted").otherwise(F.col("status")))
 
 
-def number_events(
-    events: DataFrame, prior: DataFrame | None = None, bucket: str = "hour"
-) -> DataFrame:
+def number_events(events: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """`sequence` per job in order of (created_at, id), after the `prior` maximum.
 
-    Rows are numbered within (job, time bucket) and shifted by the counts of the
-    earlier buckets, so one busy job is spread over many tasks.
+    Events are cut into ranges of (job, created_at, id) of about one size, numbered within
+    (range, job) and shifted by the counts of the job's earlier ranges: a busy job, or one
+    busy hour of it, is spread over many tasks.  Events without a time come first, those
+    without a job are a job of their own.  `prior` has (job_id, sequence).
     """
-    timed = events.withColumn("bucket", F.date_trunc(bucket, F.col("created_at")))
-    before = Window.partitionBy("job_id").orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, -1
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["job_id", "created_at", "id"]
+    # Stored, so that a repeated task cannot see other ranges than the first run did.
+    ranged = materialize(
+        events.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
     )
+    before = Window.partitionBy("job_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
-        timed.groupBy("job_id", "bucket")
+        ranged.groupBy("job_id", "part")
         .agg(F.count("*").alias("n"))
-        .select(
-            "job_id", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift")
-        )
+        .select("job_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     )
     if prior is not None:
-        top = prior.groupBy("job_id").agg(F.max("sequence").alias("top"))
-        shifts = shifts.join(top, "job_id", "left").select(
-            "job_id", "bucket", (F.col("shift") + F.coalesce("top", F.lit(0))).alias("shift")
+        top = prior.groupBy(F.col("job_id").alias("top_job")).agg(F.max("sequence").alias("top"))
+        shifts = shifts.join(top, F.col("job_id").eqNullSafe(F.col("top_job")), "left").select(
+            "job_id", "part", (F.col("shift") + F.coalesce("top", F.lit(0))).alias("shift")
         )
-    local = Window.partitionBy("job_id", "bucket").orderBy("created_at", "id")
+    shifts = shifts.select(F.col("job_id").alias("shift_job"), F.col("part").alias("shift_part"), "shift")
+    local = Window.partitionBy("part", "job_id").orderBy("created_at", "id")
+    same = (F.col("part") == F.col("shift_part")) & F.col("job_id").eqNullSafe(F.col("shift_job"))
     return (
-        timed.withColumn("local", F.row_number().over(local))
-        .join(shifts, ["job_id", "bucket"])
+        ranged.withColumn("local", F.row_number().over(local))
+        .join(shifts, same)
         .withColumn("sequence", F.col("local") + F.col("shift"))
-        .drop("local", "shift", "bucket")
+        .drop("local", "part", "shift_job", "shift_part", "shift")
     )
 
 

@@ -89,10 +89,11 @@ def ingest_files(
     detect_deletions: bool = True,
     index: LexicalIndex | None = None,
 ) -> IngestResult:
+    """Files as `scan_files` returns them, or as `describe_files` already described them."""
     spark = files.sparkSession
     now = now or datetime.now(timezone.utc).replace(microsecond=0, tzinfo=None)
     stamp = F.lit(now).cast("timestamp")
-    described = describe_files(files)
+    described = files if "content_hash" in files.columns else describe_files(files)
     # The first pass keeps fingerprints only; contents are read again just for
     # the files that changed.
     found = materialize(described.drop("content"))

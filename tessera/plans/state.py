@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import schemas
+from tessera.sources.files import root_exists
 
 TABLE_SCHEMAS = {
     "documents": schemas.DOCUMENTS,
@@ -42,6 +44,44 @@ def read_state(spark: SparkSession, path: str) -> CorpusState:
     )
 
 
+class SnapshotLog:
+    """Snapshots below one folder, and a ledger of the batches that made them.
+
+    A snapshot is written first, into a folder of its own; the ledger row that names it is
+    the commit.  A run that dies before that row leaves only a folder that nothing reads, and
+    a batch found in the ledger has had its effect.  One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def entries(self) -> DataFrame:
+        """The ledger: version, source, batch_id and the snapshot's folder."""
+        if not root_exists(self.spark, f"{self.folder}/ledger"):
+            return self.spark.createDataFrame([], schemas.LEDGER)
+        reader = self.spark.read.schema(schemas.LEDGER).option("recursiveFileLookup", "true")
+        return reader.parquet(f"{self.folder}/ledger")
+
+    def holds(self, source: str, batch_id: int) -> bool:
+        """Whether a batch of a source (a stream's checkpoint) is in the ledger."""
+        same = (F.col("source") == source) & (F.col("batch_id") == batch_id)
+        return not self.entries().filter(same).isEmpty()
+
+    def latest(self) -> CorpusState:
+        """The snapshot entered last; an empty state before the first."""
+        last = self.entries().agg(F.max_by("folder", "version").alias("folder")).first().folder
+        return empty_state(self.spark) if last is None else read_state(self.spark, f"{self.folder}/{last}")
+
+    def commit(self, state: CorpusState, source: str, batch_id: int) -> None:
+        """Stores the state that a batch led to, then enters the batch."""
+        name = f"snapshots/{uuid.uuid4().hex}"
+        write_state(state, f"{self.folder}/{name}")
+        version = self.entries().agg(F.coalesce(F.max("version"), F.lit(0)) + 1).first()[0]
+        row = self.spark.createDataFrame([(version, source, batch_id, name)], schemas.LEDGER)
+        # An entry that was cut short has no file yet and is written again.
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/ledger/{version}")
+
+
 def dense_ids(df: DataFrame, key: str, name: str, start: int) -> DataFrame:
     """Numbers distinct keys from `start` without gaps, collisions or a global sort.
 

@@ -71,6 +71,16 @@ RUNS = T.StructType(
     ]
 )
 
+# One row per micro-batch that an ingest stream has stored.
+LEDGER = T.StructType(
+    [
+        T.StructField("version", T.LongType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("batch_id", T.LongType()),
+        T.StructField("folder", T.StringType()),
+    ]
+)
+
 # One ranked-result row; columns of an arm that did not find the chunk are null.
 RANKED = T.StructType(
     [

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators.index import LexicalIndex
-from tessera.operators.lexical import lexical_search
-from tessera.operators.semantic import Embedder, semantic_search
-from tessera.session import materialize
+from tessera.operators.index import LexicalIndex, fetch_chunks
+from tessera.operators.lexical import bm25_candidates, judge_candidates, query_shape
+from tessera.operators.semantic import Embedder, embed_queries, hydrate, knn_topk
+from tessera.session import CANDIDATE_ROWS, fits, materialize
 
 # --- fixed values -----------------------------------------------------------
 RRF_K = 60
@@ -221,6 +221,17 @@ def diagnostics_of(
     )
 
 
+def texts_of(chunks: DataFrame, candidates: DataFrame, hits: DataFrame) -> DataFrame:
+    """The chunks that either arm found, each once."""
+    # The comparisons hold for every row: a scan is pruned by a side with a condition only.
+    found = (
+        candidates.filter("candidate_rank >= 1").select("chunk_id")
+        .unionByName(hits.filter("semantic_rank >= 1").select("chunk_id"))
+        .distinct()
+    )
+    return fetch_chunks(chunks, found, fits(found, CANDIDATE_ROWS))
+
+
 def hybrid_search(
     q: DataFrame,
     index: LexicalIndex,
@@ -235,9 +246,17 @@ def hybrid_search(
     max_per_document: int = MAX_PER_DOCUMENT,
     diagnostics: bool = False,
 ) -> DataFrame | tuple[DataFrame, DataFrame]:
-    """Both arms, fusion, collapse, rerank and diversity."""
-    lexical = lexical_search(q, index, lexical_limit)
-    semantic = semantic_search(q, vec, index.chunks, embedder, model, semantic_limit)
+    """Both arms, fusion, collapse, rerank and diversity.
+
+    Both arms find chunk ids first; the texts of all of them are then fetched at once.
+    """
+    shape = query_shape(q)
+    candidates = materialize(bm25_candidates(q, index, lexical_limit, shape))
+    hits = materialize(knn_topk(embed_queries(q, embedder), vec, semantic_limit, model))
+    texts = materialize(texts_of(index.chunks, candidates, hits))
+    lexical = judge_candidates(q, candidates, texts, lexical_limit, shape)
+    small = fits(q.select("query_id"), CANDIDATE_ROWS // semantic_limit)
+    semantic = hydrate(hits, texts, small)
     # Several steps read the fused rows; they are few per query and stored once,
     # so that neither arm is ever computed again.
     fused = materialize(rrf(lexical, semantic))

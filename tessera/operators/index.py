@@ -10,6 +10,9 @@ common token never becomes one large file or one large task.
 the chunks (`SEGMENT_DOCUMENTS` documents, and so many chunks of one), with each chunk's
 weighted occurrences and length, and the greatest and least of these.  They bound what the
 token can add to the score of any chunk there, so that a search may leave blocks unread.
+
+`chunks` holds the texts, on disk in `SHELVES` folders by a hash of the chunk id: a search
+that has found its chunk ids reads their shelves only (`fetch_chunks`).
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.chunking import CHUNK_ORDINALS
-from tessera.session import materialize
+from tessera.session import hint_small, materialize
 
 # --- fixed values: field weights of the ranking ------------------------------
 TITLE_WEIGHT = 12.0
@@ -39,6 +42,7 @@ FIELDS = (
 TOKEN_BUCKETS = 256
 SEGMENT_DOCUMENTS = 64
 SEGMENT_CHUNKS = 1024  # of one document
+SHELVES = 256
 TABLES = ("chunks", "postings", "vocabulary", "stats", "blocks")
 
 
@@ -70,6 +74,24 @@ def segment_of(chunk_id: Column) -> Column:
     return F.floor(document / F.lit(SEGMENT_DOCUMENTS)).cast("long") * ordinals + part
 
 
+def shelf_of(chunk_id: Column) -> Column:
+    """Number of the folder that holds a chunk's text."""
+    return F.pmod(F.xxhash64(chunk_id), F.lit(SHELVES)).cast("int")
+
+
+def fetch_chunks(chunks: DataFrame, hits: DataFrame, small: bool) -> DataFrame:
+    """Hits joined with their chunks; those of unknown chunks are dropped.
+
+    Where the chunks stand on shelves and the hits are few enough to be broadcast, the scan
+    leaves out every shelf without a hit, by dynamic partition pruning.
+    """
+    keys = ["chunk_id"]
+    if "shelf" in chunks.columns:
+        keys.append("shelf")
+        hits = hits.withColumn("shelf", shelf_of(F.col("chunk_id")))
+    return chunks.join(hint_small(hits, small), keys).drop("shelf")
+
+
 def impact_blocks(postings: DataFrame) -> DataFrame:
     """The blocks of the postings; occurrences are added up where they are read."""
     keys = ("bucket", "token", "chunk_id", "chunk_tokens")
@@ -107,6 +129,7 @@ def describe_chunks(ch: DataFrame, doc: DataFrame | None = None) -> DataFrame:
         "text",
         "embedding_model",
         "embedding_dim",
+        shelf_of(F.col("chunk_id")).alias("shelf"),
     )
 
 
@@ -211,9 +234,14 @@ def refresh_index(
     return LexicalIndex(kept.unionByName(changed), postings, vocabulary, stats, blocks)
 
 
+def _shelved(chunks: DataFrame) -> DataFrame:
+    """Each shelf in up to 16 files, so that no task writes a whole one."""
+    return chunks.repartition("shelf", F.pmod(F.xxhash64("document_id"), F.lit(16)))
+
+
 def write_index(index: LexicalIndex, path: str) -> None:
     """Stores the index under a new folder."""
-    index.chunks.write.parquet(f"{path}/chunks")
+    _shelved(index.chunks).write.partitionBy("shelf").parquet(f"{path}/chunks")
     # Hash of (bucket, part of the chunk) spreads a hot token over several tasks.
     spread = F.pmod(F.xxhash64("chunk_id"), F.lit(16))
     (
@@ -241,7 +269,7 @@ def read_index(spark: SparkSession, path: str) -> LexicalIndex:
 
 def materialize_index(index: LexicalIndex) -> LexicalIndex:
     """Index whose tables are stored in the session's shared folder."""
-    chunks = materialize(index.chunks)
+    chunks = materialize(index.chunks.repartition("shelf"), "shelf")
     # Texts are tokenised once; all three tables derive from the stored tokens.
     tokenized = materialize(_tokenized(chunks))
     postings, vocabulary, stats = (materialize(df) for df in _derived(tokenized))

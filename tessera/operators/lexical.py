@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators.index import LexicalIndex, field_weight, segment_of, token_bucket
+from tessera.operators.index import LexicalIndex, fetch_chunks, field_weight, segment_of, token_bucket
 from tessera.session import BROADCAST_ROWS, CANDIDATE_ROWS, fits, hint_small, materialize
 
 # --- fixed values -----------------------------------------------------------
@@ -321,14 +321,18 @@ def lexical_search(
     the query, a phrase occurs, or every term occurs; then bonuses are added.
     """
     shape = shape or query_shape(q)
-    candidates = bm25_candidates(q, index, limit, shape)
+    return judge_candidates(q, bm25_candidates(q, index, limit, shape), index.chunks, limit, shape)
+
+
+def judge_candidates(
+    q: DataFrame, candidates: DataFrame, chunks: DataFrame, limit: int, shape: QueryShape
+) -> DataFrame:
+    """The second half of `lexical_search`: candidates against their texts, ranked."""
     # A searchable query has at most 5 x limit candidates.
     small = shape.small and shape.queries * FETCH_MULTIPLIER * limit <= CANDIDATE_ROWS
     parsed = parse_queries(q).select("query_id", "phrases", "terms", "normalized_query")
     # Candidates and queries are bounded by the query count, the chunks are not.
-    rows = index.chunks.join(hint_small(candidates, small), "chunk_id").join(
-        hint_small(parsed, small), "query_id"
-    )
+    rows = fetch_chunks(chunks, candidates, small).join(hint_small(parsed, small), "query_id")
     text = T.haystack(*(F.col(c) for c in ("title", "source_name", "section_title", "text")))
     judged = (
         rows.withColumn(

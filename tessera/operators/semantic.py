@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera import schemas
 from tessera.functions import text as T
 from tessera.operators.blockjoin import nearest
+from tessera.operators.index import fetch_chunks
 from tessera.operators.lexical import top_k
 from tessera.plans.state import dense_ids
 from tessera.session import CANDIDATE_ROWS, fits, hint_small, materialize
@@ -44,7 +45,7 @@ def knn_topk(queries: DataFrame, vec: DataFrame, k: int, model: str | None = Non
 
 def hydrate(hits: DataFrame, chunks: DataFrame, small: bool) -> DataFrame:
     """Hits with their chunk rows, in hit order; unknown chunks are dropped."""
-    rows = chunks.join(hint_small(hits, small), "chunk_id")
+    rows = fetch_chunks(chunks, hits, small)
     ranked = top_k(
         rows, 2**31 - 1, ["query_id"], [F.asc("semantic_rank")], "semantic_rank_"
     )

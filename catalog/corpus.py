@@ -29,6 +29,17 @@ def letter_profile(text: pd.Series) -> pd.Series:
     return pd.Series(list((counts / size[:, None]).astype(np.float32)), index=text.index)
 
 
+def letter_model():
+    """The same stand-in as a model that is loaded in a worker and sees one batch at a time."""
+
+    def predict(texts: np.ndarray) -> np.ndarray:
+        low = [t.lower() for t in texts]
+        shares = [[t.count(c) / max(len(t), 1) for c in LETTERS] for t in low]
+        return np.array(shares, dtype=np.float32)
+
+    return predict
+
+
 @F.pandas_udf(DoubleType())
 def word_share(query: pd.Series, text: pd.Series) -> pd.Series:
     """Deterministic stand-in for a reranker: share of query words in the text."""

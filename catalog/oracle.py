@@ -6,7 +6,7 @@ documents -> chunks -> tokens -> scores like the query it checks.
 
 from __future__ import annotations
 
-from catalog.corpus import LETTERS
+from catalog.corpus import LETTERS, MODEL
 from catalog.queries import RESPONSES
 from tessera.functions.text import accent_table
 from tessera.operators import answers as A
@@ -791,6 +791,11 @@ def oracle_sql() -> dict[str, str]:
       UNION ALL SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 2)
       FROM embeddings WHERE {labelled})"""
     sql["vector_delete"] = f"SELECT chunk_id, {vector} FROM ({base} WHERE NOT {labelled})"
+    sql["embed_batched"] = statement(
+        f"""SELECT chunk_id, '{MODEL}' AS embedding_model, len(v) AS dimensions, round(list_sum(v), 4) AS total
+      FROM (SELECT chunk_id, {profile('text')} AS v FROM chunks)""",
+        *CHUNKS,
+    )
     sql["sync_vectors"] = statement(
         f"""SELECT chunk_id, {vector} FROM ({base} WHERE {labelled} UNION ALL
       SELECT document_id, {profile('text')} FROM docs

@@ -16,6 +16,7 @@ from catalog.corpus import (
     MODEL,
     chunks,
     documents,
+    letter_model,
     letter_profile,
     queries,
     saved_run,
@@ -24,6 +25,7 @@ from catalog.corpus import (
     word_share,
 )
 from tessera.functions import text as T
+from tessera.functions.models import batched_embedder
 from tessera.operators import answers as A
 from tessera.operators import diffs as D
 from tessera.operators import evaluation as E
@@ -448,6 +450,13 @@ def vector_delete(spark, sf_dir):
     return vector_view(S.delete_vectors(embedding_table(spark, sf_dir), ids, "table"))
 
 
+@register
+def embed_batched(spark, sf_dir):
+    """Vectors of all chunks by a model that is loaded in the workers, 64 texts at a time."""
+    ch = stored_corpus(spark, sf_dir).index.chunks
+    return vector_view(S.embed_chunks(ch, batched_embedder(letter_model, 64), MODEL))
+
+
 @register
 def sync_vectors(spark, sf_dir):
     """Labelled documents as the corpus: stale vectors go, missing ones are made."""

@@ -747,6 +747,18 @@ def oracle_sql() -> dict[str, str]:
     sql["index_refresh"] = statement(
         vocabulary, DOCS.replace("docs AS", "old_docs AS", 1), updated, *TOKENS[1:]
     )
+    twice = """docs AS (SELECT * REPLACE (CASE lang WHEN 'fr' THEN 'Update notice ' || text
+      WHEN 'es' THEN 'Second notice ' || text ELSE text END AS text)
+      FROM old_docs WHERE lang IS DISTINCT FROM 'de')"""
+    sql["segment_refresh"] = statement(
+        """SELECT chunk_id, document_id, n_tokens, vocabulary_sum, postings_sha256, total AS chunk_count,
+      round(average, 6) AS average_tokens
+      FROM (SELECT chunk_id, count(*) AS n_tokens, sum(chunk_count)::BIGINT AS vocabulary_sum,
+          sha256(string_agg(field || ':' || pos || ':' || token, ',' ORDER BY field, pos)) AS postings_sha256
+        FROM occ JOIN vocabulary USING (token) GROUP BY chunk_id)
+      JOIN chunks USING (chunk_id), corpus""",
+        DOCS.replace("docs AS", "old_docs AS", 1), twice, *TOKENS[1:], f"vocabulary AS ({vocabulary})",
+    )
     sql["bm25_topk"] = statement(
         """SELECT query_id, chunk_id, round(score, 6) AS score, candidate_rank
       FROM lexical_cut""",

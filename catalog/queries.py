@@ -40,6 +40,7 @@ from tessera.operators.index import (
     materialize_index,
     refresh_index,
 )
+from tessera.operators.segments import create_segments, merge_segments, open_segments, refresh_segments
 from tessera.plans import reconcile as P
 from tessera.plans.ingest import ingest_files
 from tessera.plans.search import Backends, ask, inspect, search
@@ -289,6 +290,47 @@ def index_refresh(spark, sf_dir):
     return refresh_index(index, fresh).vocabulary
 
 
+@register
+def segment_refresh(spark, sf_dir):
+    """Chunks, postings and counts of an index in parts, refreshed twice and merged.
+
+    First every French document changes and every German one goes, then every Spanish one changes.
+    """
+    path = f"{intermediate_folder(spark)}/segments-{uuid.uuid4().hex}"
+    create_segments(stored_corpus(spark, sf_dir).index, path)
+    langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "lang")
+
+    def changed(lang, words):
+        doc = documents(spark, sf_dir).join(langs.where(F.col("lang") == lang), "document_id", "left_semi")
+        doc = doc.withColumn("text", F.concat(F.lit(words), F.col("text")))
+        return describe_chunks(chunk_documents(doc, keep=("title", "source_path")))
+
+    refresh_segments(spark, path, changed("fr", "Update notice "), langs.where("lang = 'de'"))
+    refresh_segments(spark, path, changed("es", "Second notice "))
+    merge_segments(spark, path, 2)
+    index = open_segments(spark, path)
+    place = F.concat_ws(":", "field", "position", "token")
+    per_chunk = (
+        index.postings.join(index.vocabulary, "token")
+        .groupBy("chunk_id")
+        .agg(
+            F.count("*").alias("n_tokens"),
+            F.sum("chunk_count").alias("vocabulary_sum"),
+            F.array_sort(F.collect_list(F.struct("field", "position", place.alias("place")))).alias("places"),
+        )
+    )
+    corpus = index.stats.select("chunk_count", rounded("average_tokens"))
+    return index.chunks.join(per_chunk, "chunk_id").select(
+        "chunk_id",
+        "document_id",
+        "n_tokens",
+        "vocabulary_sum",
+        F.sha2(F.array_join("places.place", ","), 256).alias("postings_sha256"),
+        corpus.select("chunk_count").scalar().alias("chunk_count"),
+        corpus.select("average_tokens").scalar().alias("average_tokens"),
+    )
+
+
 @register
 def bm25_topk(spark, sf_dir):
     q = queries(spark, sf_dir)

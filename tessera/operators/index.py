@@ -92,10 +92,14 @@ def fetch_chunks(chunks: DataFrame, hits: DataFrame, small: bool) -> DataFrame:
     return chunks.join(hint_small(hits, small), keys).drop("shelf")
 
 
-def impact_blocks(postings: DataFrame) -> DataFrame:
-    """The blocks of the postings; occurrences are added up where they are read."""
+def impact_entries(postings: DataFrame) -> DataFrame:
+    """What each token weighs in each chunk; occurrences are added up where they are read."""
     keys = ("bucket", "token", "chunk_id", "chunk_tokens")
-    entries = postings.groupBy(*keys).agg(F.sum(field_weight(F.col("field"))).alias("hits"))
+    return postings.groupBy(*keys).agg(F.sum(field_weight(F.col("field"))).alias("hits"))
+
+
+def blocks_of(entries: DataFrame) -> DataFrame:
+    """One row for each token and segment of the entries."""
     return (
         entries.groupBy("bucket", "token", segment_of(F.col("chunk_id")).alias("segment"))
         .agg(
@@ -107,6 +111,11 @@ def impact_blocks(postings: DataFrame) -> DataFrame:
     )
 
 
+def impact_blocks(postings: DataFrame) -> DataFrame:
+    """The blocks of the postings."""
+    return blocks_of(impact_entries(postings))
+
+
 def describe_chunks(ch: DataFrame, doc: DataFrame | None = None) -> DataFrame:
     """Chunks with title and path of their document; joins only when they lack them."""
     if not {"title", "source_path"} <= set(ch.columns):
@@ -133,12 +142,13 @@ def describe_chunks(ch: DataFrame, doc: DataFrame | None = None) -> DataFrame:
     )
 
 
-def _tokenized(chunks: DataFrame) -> DataFrame:
+def tokenize_chunks(chunks: DataFrame, *keep: str) -> DataFrame:
+    """chunk_id, the columns to keep, and the tokens of each field."""
     tokens = [T.fts_tokens(F.coalesce(F.col(name), F.lit(""))) for name, _ in FIELDS]
-    return chunks.select("chunk_id", F.array(*tokens).alias("fields"))
+    return chunks.select("chunk_id", *keep, F.array(*tokens).alias("fields"))
 
 
-def _derived(tokenized: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def derive_tables(tokenized: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Postings, vocabulary and stats of tokenised chunks."""
     size = F.size(F.flatten("fields"))
 
@@ -178,7 +188,7 @@ def _derived(tokenized: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def build_index(ch: DataFrame, doc: DataFrame | None = None) -> LexicalIndex:
     """Index of all chunks, as lazy plans; see `write_index` to store it."""
     chunks = describe_chunks(ch, doc)
-    postings, vocabulary, stats = _derived(_tokenized(chunks))
+    postings, vocabulary, stats = derive_tables(tokenize_chunks(chunks))
     return LexicalIndex(chunks, postings, vocabulary, stats, impact_blocks(postings))
 
 
@@ -196,8 +206,8 @@ def refresh_index(
     touched = touched.distinct()
     old = index.chunks.join(touched, "document_id", "left_semi")
     kept = index.chunks.join(touched, "document_id", "left_anti")
-    new_postings, new_vocabulary, new_stats = _derived(_tokenized(changed))
-    _, old_vocabulary, old_stats = _derived(_tokenized(old))
+    new_postings, new_vocabulary, new_stats = derive_tables(tokenize_chunks(changed))
+    _, old_vocabulary, old_stats = derive_tables(tokenize_chunks(old))
     postings = index.postings.join(
         old.select("chunk_id"), "chunk_id", "left_anti"
     ).unionByName(new_postings)
@@ -271,6 +281,6 @@ def materialize_index(index: LexicalIndex) -> LexicalIndex:
     """Index whose tables are stored in the session's shared folder."""
     chunks = materialize(index.chunks.repartition("shelf"), "shelf")
     # Texts are tokenised once; all three tables derive from the stored tokens.
-    tokenized = materialize(_tokenized(chunks))
-    postings, vocabulary, stats = (materialize(df) for df in _derived(tokenized))
+    tokenized = materialize(tokenize_chunks(chunks))
+    postings, vocabulary, stats = (materialize(df) for df in derive_tables(tokenized))
     return LexicalIndex(chunks, postings, vocabulary, stats, materialize(impact_blocks(postings)))

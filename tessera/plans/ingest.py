@@ -44,6 +44,9 @@ class IngestResult:
     deleted: DataFrame  # source_path, document_id
     pending: DataFrame  # inserted chunks, those an embedder has to see
     index: LexicalIndex | None = None  # the index given, brought up to date
+    # For an index stored in segments: refresh_segments(spark, path, result.changed, result.touched).
+    changed: DataFrame | None = None  # described chunks of the documents parsed in this run
+    touched: DataFrame | None = None  # document_id of those and of the deleted
 
 
 def ingest(
@@ -162,13 +165,14 @@ def ingest_files(
         kept_vectors,
         state.runs.unionByName(run_row),
     )
+    # Chunks of changed documents only, described by the documents' new titles.
+    changed = describe_chunks(preserved.unionByName(inserted), documents)
+    touched = gone.unionByName(touched)
     if index is not None and index.chunks.count() != state.chunks.count():
         index = build_index(new_state.chunks, new_state.documents)
     elif index is not None:
-        # Chunks of changed documents only, described by the documents' new titles.
-        changed = describe_chunks(preserved.unionByName(inserted), documents)
-        index = refresh_index(index, changed, gone.unionByName(touched))
-    return IngestResult(new_state, run, report, deleted, pending, index)
+        index = refresh_index(index, changed, touched)
+    return IngestResult(new_state, run, report, deleted, pending, index, changed, touched)
 
 
 def _numbered(changes: DataFrame, state: CorpusState) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import json
 import uuid
 from collections.abc import Callable
 
@@ -26,6 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
+MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
 END_ID = 2
 RULES = (
     ("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"),
@@ -72,9 +75,18 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary_words() -> list[str]:
+    """Words of two public vocabularies, many of them common to code, the English one first."""
+    with open(public_tokenizers.path(WORD_BPE), encoding="utf-8") as file:
+        words = [w.removesuffix("</w>") for w in json.load(file)["model"]["vocab"]]
+    with open(public_tokenizers.path(MULTI_BPE), "rb") as file:
+        pieces = [base64.b64decode(line.split()[0]).strip() for line in file if line.strip()]
+    return words + [p.decode() for p in pieces if p.isascii()]
+
+
 @register
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents"), vocabulary_words())
     return found.select(*_digests("spans", secrets.BASE))
 
 

@@ -2,13 +2,14 @@
 
 Base kinds (assign, access, hex) are reported whenever their own rule holds.  The method adds
 kind `novel`: a run of token characters shortly after or before a sensitive word, or on the
-lines that follow such a key, is compressed with a dictionary made of common identifiers
-and the text around it.  The bits it adds, against an empty input under the same dictionary,
-are compared with those of a random string of its length and alphabet: words and names of
-the surroundings need fewer, random keys do not.  Short words pass through zstandard as they
-are, so the bits by the letter pairs of the same primer count if they are fewer.
-
-Defined results: a null or empty text has no spans; a null doc_id stays null; repeated rows
+lines that follow such a key, is measured by what it adds to the compressed size of the text
+around it, under a dictionary of identifiers (`identifier_dictionary`, made of a list of words).
+Words, names and what the surroundings repeat are matches in the dictionary or the text and
+cost little; a random key has none, and costs more than the bits of a random string of its
+length and alphabet.
+
+Defined results: without a list of words the dictionary is a short one of common names, and long
+ordinary words near a sensitive word are reported more often; a null or empty text has no spans; a null doc_id stays null; repeated rows
 give repeated rows; other columns are not read; an empty table gives an empty table.
 """
 
@@ -17,7 +18,8 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left, bisect_right
-from collections import Counter
+from collections.abc import Iterable
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -28,7 +30,11 @@ from tessera.llm.common import SPANS, Covered, over_batches, span_table, text_or
 
 BASE = ("assign", "access", "hex")
 MIN_LENGTH = 16
-NOVELTY = 0.95  # share of a random string's bits
+NOVELTY = 0.96  # of a random string's bits; a random key spends about 1 or more
+# Among lines like it the literals' code fits a long key, and saves it up to an eighth.
+LONG, LONG_NOVELTY = 40, 0.85
+LEVEL = 19  # the levels with a parser that weighs costs; lower ones take dear chance matches
+DICTIONARY_BYTES = 1 << 20  # at most, the words given first being kept
 NEAR = 48  # characters at most between a candidate and a sensitive word
 BETWEEN = 16  # and between lines of one key: line ends, quotes, indentation
 AROUND = 512  # characters of text on either side that prime the compressor
@@ -63,6 +69,12 @@ IDENTIFIERS = (
     "secret_key self.session string token_secret undefined username variable version your_password_here"
 )
 
+# Stands before the surroundings, so that short ones bear the fixed costs of a block as well.
+CARRIER = (
+    "The value below is read when the service starts. Keep it out of the repository, set it in the "
+    "environment of the process and change it whenever somebody leaves the team that works on it.\n"
+)
+
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The contract's spans by start, then kind as listed."""
@@ -77,14 +89,35 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def marginal_bytes(candidate: str, before: str, after: str) -> int:
-    """Bytes the candidate adds under a dictionary of identifiers and its surroundings."""
-    primer = f"{IDENTIFIERS}\n{after}\n{before}".encode()
-    known = zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    zstd = zstandard.ZstdCompressor(
-        level=9, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False
+def identifier_dictionary(words: Iterable[str] = ()) -> bytes:
+    """Words of four letters or more, then the common names, for `find_secrets`.
+
+    Words given first lie at the end, where matches are cheapest.  What exceeds
+    `DICTIONARY_BYTES` is left out: a word that is not there only counts as more novel.
+    """
+    kept, room = [], DICTIONARY_BYTES - len(IDENTIFIERS) - 1
+    for word in dict.fromkeys(w for w in words if len(w) >= 4 and w.isalpha()):
+        raw = word.encode()
+        room -= len(raw) + 1
+        if room < 0:
+            break
+        kept.append(raw)
+    return b" ".join((*reversed(kept), IDENTIFIERS.encode()))
+
+
+@lru_cache(maxsize=4)
+def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+    known = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    known.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(
+        level=LEVEL, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False
     )
-    return len(zstd.compress(candidate.encode())) - len(zstd.compress(b""))
+
+
+def marginal_bytes(candidate: str, before: str, after: str, dictionary: bytes) -> int:
+    """Bytes the candidate adds to its surroundings, compressed under the dictionary."""
+    zstd, around = _compressor(dictionary), f"{CARRIER}{after}\n{before}"
+    return len(zstd.compress(f"{around}{candidate}".encode())) - len(zstd.compress(around.encode()))
 
 
 def random_bits(candidate: str) -> float:
@@ -93,27 +126,18 @@ def random_bits(candidate: str) -> float:
     return len(key) * next((bits for chars, bits in ALPHABETS if chars.fullmatch(key)), 6.0)
 
 
-def pair_bits(candidate: str, primer: str) -> float:
-    """Bits of the candidate by how often its letters follow each other in the primer."""
-    low = primer.lower()
-    pairs, firsts = Counter(zip(low, low[1:], strict=False)), Counter(low)
-    key = candidate.rstrip("=") or candidate
-    text = f" {key.lower()}"
-    bits = -sum(
-        math.log2((pairs[a, b] + 0.25) / (firsts[a] + 0.25 * 38)) for a, b in zip(text, text[1:], strict=False)
-    )
-    # Upper and lower case mixed at random are one more bit a letter: changes of case count.
-    letters = [c.isupper() for c in key if c.isalpha()]
-    return bits + 2 * sum(a != b for a, b in zip(letters, letters[1:], strict=False))
+def novelty(candidate: str, before: str, after: str, dictionary: bytes) -> float:
+    """Bits the candidate adds, in those of a random string like it."""
+    return 8 * marginal_bytes(candidate, before, after, dictionary) / random_bits(candidate)
 
 
-def novelty(candidate: str, before: str, after: str) -> float:
-    """Bits the candidate adds, in those of a random string like it; about 1 or more is random."""
-    bits = min(8 * marginal_bytes(candidate, before, after), pair_bits(candidate, f"{IDENTIFIERS} {after} {before}"))
-    return bits / random_bits(candidate)
+def is_random(score: float, length: int) -> bool:
+    return score >= (LONG_NOVELTY if length >= LONG else NOVELTY)
 
 
-def novel_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int, float]]:
+def novel_spans(
+    text: str, taken: list[tuple[str, int, int]], dictionary: bytes
+) -> list[tuple[str, int, int, float]]:
     """Random candidates near a sensitive word, or on lines after one, that overlap no span taken."""
     out, last = [], -1  # where the last key ended
     covered = Covered((s, e) for _, s, e in taken)
@@ -132,29 +156,34 @@ def novel_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
         if covered(start, end):
             last = end
             continue
-        score = novelty(text[start:end], text[max(0, start - AROUND):start], text[end:end + AROUND])
-        if score >= NOVELTY:
+        score = novelty(text[start:end], text[max(0, start - AROUND):start], text[end:end + AROUND], dictionary)
+        if is_random(score, end - start):
             out.append(("novel", start, end, min(1.0, score)))
             last = end
     return out
 
 
-def find_spans(text: str) -> list[tuple[str, int, int, float]]:
+def find_spans(text: str, dictionary: bytes = IDENTIFIERS.encode()) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score), by start and then kind: assign, access, hex, novel."""
     base = base_spans(text)
     out = [(k, s, e, 1.0) for k, s, e in base]
     low = text.lower()
     if any(w in low for w in SENSITIVE):
-        out += novel_spans(text, base)
+        out += novel_spans(text, base, dictionary)
         out.sort(key=lambda s: (s[1], (*BASE, "novel").index(s[0])))
     return out
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
-    """doc_id and spans(kind, start, end, score) of every text; offsets are code points."""
+def find_secrets(docs: DataFrame, words: Iterable[str] = ()) -> DataFrame:
+    """doc_id and spans(kind, start, end, score) of every text; offsets are code points.
+
+    `words` are what code and texts commonly hold, for the identifier dictionary, which every
+    Python worker digests once.
+    """
+    dictionary = identifier_dictionary(words)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return span_table(batch.column(0), [find_spans(t) for t in batch.column(1).to_pylist()])
+        return span_table(batch.column(0), [find_spans(t, dictionary) for t in batch.column(1).to_pylist()])
 
     return over_batches(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")),

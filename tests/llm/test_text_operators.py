@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from tessera.llm import pii, secrets
 from tessera.llm.pieces import PieceEncoder, encode_pieces
-from tessera.llm.queries import END_ID, PIECE_BPE, REGISTRY, WORD_BPE
+from tessera.llm.queries import END_ID, PIECE_BPE, REGISTRY, WORD_BPE, vocabulary_words
 from tessera.llm.token_files import Block, EliasFano, TokenEncoder, pack_block, read_tokens, write_tokens
 from tessera.session import shared_folder
 from tests.llm.cases import LONG, TEXTS, documents
@@ -112,9 +112,35 @@ def test_key_lines_share_their_context():
 
 
 def test_words_and_names_are_not_novel():
+    known = secrets.identifier_dictionary(vocabulary_words())
     for word in ("responsibilities", "get_user_account_by_identifier", "internationalization-settings",
-                 "your_password_here_please", "com/company/project/service/handler", "z" * 24, "-" * 30):
-        assert not secrets.find_spans(f"the token {word} and others")
+                 "your_password_here_please", "com/company/project/service/handler", "z" * 24, "-" * 30,
+                 "notificationservice", "configurationmanager", "authenticationprovider",
+                 "maintenancewindow", "konfigurationsdatei", "databaseconnection", "subscriptionhandler",
+                 "temporarydirectory", "customerrelationship", "userAuthenticationProvider"):
+        assert not secrets.find_spans(f"the token {word} and others", known), word
+
+
+def test_the_dictionary_decides():
+    known = secrets.identifier_dictionary(vocabulary_words())
+    for word in ("notificationservice", "maintenancewindow", "subscriptionhandler"):
+        assert secrets.novelty(word, "the token ", "", known) < secrets.NOVELTY
+        assert secrets.novelty(word, "the token ", "", b"") >= secrets.NOVELTY
+        # Words of the surroundings are known without it.
+        assert secrets.novelty(word, f"{word} has the token ", "", b"") < secrets.NOVELTY
+    draw = np.random.default_rng(11)
+    for alphabet in (BASE64, LOWER, LOWER + DIGITS, UPPER + LOWER):
+        for length in (16, 24, 64):
+            keys = ["".join(draw.choice(list(alphabet), length)) for _ in range(50)]
+            assert sum(secrets.novelty(k, "the token ", "", known) >= secrets.NOVELTY for k in keys) >= 49
+
+
+def test_the_dictionary_is_bounded_and_takes_any_words():
+    assert secrets.identifier_dictionary([]) == secrets.IDENTIFIERS.encode()
+    many = secrets.identifier_dictionary(f"word{chr(97 + i % 26)}" * (i % 9 + 1) for i in range(10))
+    assert many.endswith(secrets.IDENTIFIERS.encode())
+    long = secrets.identifier_dictionary("x" * n for n in range(4, 3_000))
+    assert len(long) <= secrets.DICTIONARY_BYTES and b" xxxx " in long
 
 
 def test_repeated_matches_stay_fast():

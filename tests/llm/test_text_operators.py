@@ -132,7 +132,8 @@ def test_the_dictionary_decides():
     for alphabet in (BASE64, LOWER, LOWER + DIGITS, UPPER + LOWER):
         for length in (16, 24, 64):
             keys = ["".join(draw.choice(list(alphabet), length)) for _ in range(50)]
-            assert sum(secrets.novelty(k, "the token ", "", known) >= secrets.NOVELTY for k in keys) >= 49
+            found = sum(secrets.is_random(secrets.novelty(k, "the token ", "", known), length) for k in keys)
+            assert found >= (47 if length == 16 else 50)  # sizes are whole bytes: short keys scatter
 
 
 def test_the_dictionary_is_bounded_and_takes_any_words():

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
+import math
+import os
+import re
+from collections.abc import Iterable, Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.functions import text as T
+from tessera.session import materialize
 from tessera.sources.html import html_parts
 
 # --- fixed values -----------------------------------------------------------
@@ -48,17 +55,75 @@ def root_exists(spark: SparkSession, root: str) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
 
-def is_hidden(name: str) -> bool:
+def is_hidden(name: str, folder: bool) -> bool:
     """Whether Spark's listing passes over a name."""
-    if name.startswith(("_metadata", "_common_metadata")):
+    if folder and name.startswith(("_metadata", "_common_metadata")):
         return False
     return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
 
 
-def _reaches(outer: str, root: str) -> bool:
-    """Whether a listing of `outer` gets to `root`: it is below by names that are not hidden."""
-    below = outer.rstrip("/") + "/"
-    return root.startswith(below) and not any(map(is_hidden, root.removeprefix(below).split("/")))
+LISTED = "path string, is_folder boolean, hidden boolean, length long, modificationTime timestamp"
+SPLIT_BYTES = 128 << 20  # of hidden files a task reads
+LISTED_ROWS = 10_000  # names a task hands on at once
+
+
+def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of each folder; below a hidden folder everything is hidden.  Links to folders are not followed."""
+    kinds = pa.schema([
+        ("path", pa.string()), ("is_folder", pa.bool_()), ("hidden", pa.bool_()), ("length", pa.int64()),
+        ("modificationTime", pa.timestamp("us", tz="UTC")),
+    ])
+    for batch in batches:
+        for row in batch.to_pylist():
+            system, inner = pafs.FileSystem.from_uri(row["path"])
+            scheme = row["path"].removesuffix(inner)
+            infos = [system.get_file_info(inner)]  # a root may be a file
+            if infos[0].type != pafs.FileType.File:
+                infos = system.get_file_info(pafs.FileSelector(inner, allow_not_found=True))
+            for first in range(0, len(infos), LISTED_ROWS):
+                found = []
+                for info in infos[first:first + LISTED_ROWS]:
+                    folder = info.type == pafs.FileType.Directory
+                    if folder and isinstance(system, pafs.LocalFileSystem) and os.path.islink(info.path):
+                        continue
+                    found.append({
+                        "path": scheme + info.path, "is_folder": folder,
+                        "hidden": row["hidden"] or is_hidden(info.base_name, folder),
+                        "length": info.size, "modificationTime": info.mtime,
+                    })
+                yield pa.RecordBatch.from_pylist(found, kinds)
+
+
+def _read_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds each file's content, one file a batch."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            system, inner = pafs.FileSystem.from_uri(batch.column("path")[at].as_py())
+            with system.open_input_stream(inner) as file:
+                content = pa.array([file.read()], pa.binary())
+            yield batch.slice(at, 1).append_column("content", content)
+
+
+def hidden_files(spark: SparkSession, roots: Iterable[str], wanted: list[str]) -> DataFrame:
+    """(path, modificationTime, length) of the files Spark's listing passes over below the roots.
+
+    Folders are rows: each step lists those of one depth in tasks, until there are none.
+    """
+    folders = spark.createDataFrame([(plain_root(r), False) for r in roots], "path string, hidden boolean")
+    cores = spark.sparkContext.defaultParallelism
+    found = []
+    while True:
+        listed = materialize(folders.repartition(cores, "path").mapInArrow(_list_folders, LISTED))
+        found.append(listed.where("hidden AND NOT is_folder"))
+        folders = listed.where("is_folder").select("path", "hidden")
+        if folders.isEmpty():
+            break
+    files = reduce(DataFrame.unionByName, found).where(extension(F.col("path")).isin(wanted))
+    return files.select("path", "modificationTime", "length")
+
+
+def plain_root(root: str) -> str:
+    return re.sub(r"\Afile:/+", "/", root)
 
 
 def scan_files(
@@ -68,13 +133,14 @@ def scan_files(
 
     Roots that do not exist are skipped; none at all gives an empty table.  Other files
     are left out by name when the folders are listed, so that their contents are never
-    read; a wanted file above the reader's size limit is a row without content.  Names
-    that start with `_` or `.` are hidden to Spark's listing.
+    read; a wanted file above the reader's size limit is a row without content.  Files whose
+    name, or a folder's name below the root, starts with `_` or `.` are hidden to Spark's
+    listing: they are listed and read in tasks, with the file systems that Arrow knows.
     """
     wanted = sorted({e.lower() for e in (extensions or DOC_TYPES)})
     present = sorted({r.rstrip("/") or "/" for r in roots if root_exists(spark, r)})
-    # A root that another root's listing reaches adds nothing, so no path can be read twice.
-    outer = [r for r in present if not any(r != o and _reaches(o, r) for o in present)]
+    # A root below another one adds nothing, so no path can be read twice.
+    outer = [r for r in present if not any(r != o and r.startswith(o.rstrip("/") + "/") for o in present)]
     if not outer:
         return spark.createDataFrame([], schemas.FILES)
     reader = (
@@ -85,12 +151,17 @@ def scan_files(
     files = reader.load(outer).filter(extension(F.col("path")).isin(wanted))
     # The comparison of lengths reaches the reader, which then opens no larger file.
     limit = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
-    large = files.filter(F.col("length") > limit).select("path", "modificationTime", "length")
-    return (
-        files.filter(F.col("length") <= limit)
-        .unionByName(large.withColumn("content", F.lit(None).cast("binary")))
-        .withColumn("path", plain_path(F.col("path")))
-    )
+    hidden = materialize(hidden_files(spark, outer, wanted))
+    fitting = F.col("length") <= limit
+    large = files.filter(~fitting).select("path", "modificationTime", "length")
+    large = large.unionByName(hidden.filter(~fitting)).withColumn("content", F.lit(None).cast("binary"))
+    small = files.filter(fitting)
+    size = hidden.filter(fitting).agg(F.sum("length").alias("n")).first().n
+    if size is not None:
+        tasks = math.ceil(size / SPLIT_BYTES) + 1
+        rows = hidden.filter(fitting).repartition(tasks, "path")
+        small = small.unionByName(rows.mapInArrow(_read_contents, small.select(*hidden.columns, "content").schema))
+    return small.unionByName(large).withColumn("path", plain_path(F.col("path")))
 
 
 def name_glob(extensions: Iterable[str]) -> str:

@@ -69,6 +69,33 @@ def test_hidden_roots_below_another_root_are_read_once(spark, tmp_path):
     assert sorted(r.path for r in rows) == sorted(str(tmp_path / n) for n in names)
 
 
+def test_hidden_files_are_found_and_read(spark, tmp_path):
+    names = ["a.md", "_b.md", ".c.TXT", "_d/e.md", "_d/sub/f.md", "g/.h/i.html", "g/_metadata.txt", "_metadata_x/l.md", "_j.bin", ".k"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"text of {name}")
+    (tmp_path / "_d" / "big.md").write_bytes(b"x" * 2_000)
+    (tmp_path / "g" / "back").symlink_to(tmp_path)  # a loop
+    limit = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(limit, "1000")
+    try:
+        rows = {r.path: r for r in scan_files(spark, [str(tmp_path)]).collect()}
+    finally:
+        spark.conf.unset(limit)
+    want = [n for n in names if not n.endswith((".bin", ".k"))] + ["_d/big.md"]
+    own = {p for p in rows if "/g/back/" not in p}
+    assert own == {str(tmp_path / n) for n in want}
+    for name in want:
+        row = rows[str(tmp_path / name)]
+        stat = (tmp_path / name).stat()
+        assert row.length == stat.st_size and abs(row.modificationTime.timestamp() - stat.st_mtime) < 1
+        assert row.content == (None if name == "_d/big.md" else f"text of {name}".encode())
+    for name in ("_b.md", "a.md"):
+        assert [r.path for r in scan_files(spark, [str(tmp_path / name)]).collect()] == [str(tmp_path / name)]
+    only = scan_files(spark, [str(tmp_path / "_d")], [".md"])
+    assert {r.path for r in only.collect()} == {str(tmp_path / "_d" / n) for n in ("e.md", "sub/f.md", "big.md")}
+
+
 def test_titles_fall_back(spark):
     pages = spark.createDataFrame(
         [

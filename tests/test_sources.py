@@ -26,6 +26,14 @@ def test_page_content_is_found_and_chrome_dropped():
     ]
 
 
+def test_references_without_semicolon_may_stay_as_they_are(spark):
+    html = "<title>a &amp; b&amp</title><p>x &#65; &#x42; &ampc &notit; &copy; &amp;quot; R&D &"
+    assert _parse(html, unclosed=False) == ("x A B &ampc &notit; © &quot; R&D &", "a & b&amp", None)
+    assert _parse("<title>b&amp</title>")[1] == "b&"
+    pages = spark.createDataFrame([(1, "http://x/a.html", html)], "id long, url string, html string")
+    assert extract_html(pages, "id", "url", "html", unclosed=False).first()["title"] == "a & b&amp"
+
+
 @pytest.mark.parametrize(
     ("html", "want"),
     [

@@ -42,6 +42,23 @@ def test_knn_equals_brute_force(spark, monkeypatch, values, blocks):
         assert got[i] == list(np.lexsort((np.arange(300), d))[:12])
 
 
+def test_equal_query_vectors_are_looked_for_once(spark, monkeypatch):
+    asked, nearest = [], S.nearest
+
+    def spy(queries, *rest):
+        asked.append(queries.count())
+        return nearest(queries, *rest)
+
+    monkeypatch.setattr(S, "nearest", spy)
+    rows = [(i, [float(i % 3), 1.0]) for i in range(30)] + [(0, [2.0, 1.0]), (5, None)]
+    q = spark.createDataFrame(rows, "query_id long, query_vector array<float>")
+    vec = vectors(spark, [(i, [i % 4, i % 2]) for i in range(20)])
+    once = S.knn_topk(q, vec, 4, "m").collect()
+    monkeypatch.setattr(S, "FEW_DISTINCT", -1)
+    assert sorted(once) == sorted(S.knn_topk(q, vec, 4, "m").collect())
+    assert asked == [3, 31]
+
+
 def test_model_filter_comes_before_the_cut(spark):
     both = vectors(spark, [(1, [1, 0, 0])], "a").unionByName(vectors(spark, [(2, [0, 1, 0])], "b"))
     q = spark.createDataFrame([(0, [1.0, 0.0, 0.0])], "query_id long, query_vector array<float>")

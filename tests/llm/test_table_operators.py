@@ -157,6 +157,36 @@ def test_an_id_with_several_texts_links_through_all_of_them(spark):
     assert got == plain_components(extreme)
 
 
+def test_empty_rows_beside_texts_link_nothing(spark):
+    """Ids with a text and an empty row each, in pairs that share shingles but are not similar."""
+    rows = []
+    for i in range(0, 80, 2):
+        base = " ".join(f"t{i}w{j}" for j in range(8))
+        rows += [(i, base + " x"), (i, None), (i + 1, base + " y"), (i + 1, " ")]
+    got = sorted(map(tuple, components(documents(spark, rows)).collect()), key=repr)
+    assert got == plain_components(rows)
+    assert all(r[0] == r[2] for r in got)
+
+
+def test_empty_rows_link_nothing_in_scans(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LIGHT", 2)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
+    base = " ".join(f"w{j}" for j in range(8))
+    rows = [(i, t) for i in range(30) for t in (f"{base} x{i}", None)]
+    got = sorted(map(tuple, components(documents(spark, rows)).collect()), key=repr)
+    assert got == plain_components(rows)
+
+
+def test_components_of_the_least_and_greatest_ids(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(low, PLAIN), (4, PLAIN + " more"), (high, PLAIN + " end"), (5, "else")]
+    got = sorted(map(tuple, components(documents(spark, rows)).collect()), key=repr)
+    assert got == plain_components(rows)
+    several = [(low, "else one two"), (low, PLAIN), (high, PLAIN + " more"), (high, "a b c"), (7, "a b c")]
+    got = sorted(map(tuple, components(documents(spark, several)).collect()), key=repr)
+    assert got == plain_components(several)
+
+
 def test_components_of_awkward_rows(spark):
     docs = documents(spark)
     assert sorted(map(tuple, components(docs).collect()), key=repr) == plain_components(TEXTS)

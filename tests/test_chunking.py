@@ -151,3 +151,12 @@ def test_ids_unique_on_the_sample_table(spark, sf_dir):
     ch = chunk_documents(docs)
     assert ch.groupBy("stable_id").count().filter("count > 1").isEmpty()
     assert ch.groupBy("chunk_id").count().filter("count > 1").isEmpty()
+
+
+def test_blocks_are_cut_and_counted_once(spark):
+    """Expressions inside lambdas are evaluated at each mention, so that none may be mentioned twice."""
+    doc = spark.createDataFrame([(1, "# A\n\none two three\n\n" + "word " * 30)], "document_id long, text string")
+    plan = chunk_documents(doc, 10, 2)._jdf.queryExecution().optimizedPlan().toString()
+    segments = plan[plan.index("aggregate("):]
+    assert segments.count("regexp_extract_all(text") == 1
+    assert segments.count("#{1,6}") == 1

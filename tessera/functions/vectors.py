@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_ROWS = 1024
+PAIR_VALUES = 1 << 21  # numbers in the vectors of pairs that are compared exactly at once
 
 
 def to_matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
@@ -21,7 +22,8 @@ class Nearest:
 
     A matrix product finds which rows can matter; only those distances are then computed
     exactly, so equal vectors get equal distances.  `bounds` are squared distances within
-    which k rows are known to lie, for each query; rows beyond need not be found.
+    which k rows are known to lie, for each query; rows beyond need not be found.  Queries,
+    rows and pairs are taken in pieces, so that many equal vectors take no more memory.
     """
 
     def __init__(self, queries: np.ndarray, k: int, bounds: np.ndarray | None = None):
@@ -38,18 +40,25 @@ class Nearest:
     def offer(self, ids: np.ndarray, rows: np.ndarray, which: np.ndarray | None = None) -> None:
         """Compares rows with the queries of number `which`, with all if none are given."""
         which = np.arange(len(self.queries)) if which is None else which
+        for begin in range(0, len(which), BLOCK_ROWS):
+            for first in range(0, len(ids), BLOCK_ROWS):
+                part = slice(first, first + BLOCK_ROWS)
+                self._compare(which[begin : begin + BLOCK_ROWS], ids[part], rows[part])
+
+    def _compare(self, which: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
         queries, norms, k = self.queries[which], self.norms[which], self.best_d.shape[1]
-        for first in range(0, len(ids), BLOCK_ROWS):
-            part, part_ids = rows[first : first + BLOCK_ROWS], ids[first : first + BLOCK_ROWS]
-            part_norms = (part**2).sum(1)
-            rough = norms[:, None] + part_norms[None, :] - 2.0 * (queries @ part.T)
-            slack = 1e-9 * (norms.max() + part_norms.max() + 1.0)
-            bound = self.bound()[which]
-            if len(part) > k:
-                bound = np.minimum(bound, np.partition(rough, k - 1, axis=1)[:, k - 1] + slack)
-            where_q, where_r = np.nonzero(rough <= (bound + slack)[:, None])
-            exact = ((part[where_r] - queries[where_q]) ** 2).sum(1)
-            _merge(self.best_d, self.best_c, which[where_q], exact, part_ids[where_r])
+        row_norms = (rows**2).sum(1)
+        rough = norms[:, None] + row_norms[None, :] - 2.0 * (queries @ rows.T)
+        slack = 1e-9 * (norms.max() + row_norms.max() + 1.0)
+        bound = self.bound()[which]
+        if len(rows) > k:
+            bound = np.minimum(bound, np.partition(rough, k - 1, axis=1)[:, k - 1] + slack)
+        where_q, where_r = np.nonzero(rough <= (bound + slack)[:, None])
+        step = max(1, PAIR_VALUES // max(1, rows.shape[1]))
+        for at in range(0, len(where_q), step):
+            q, r = where_q[at : at + step], where_r[at : at + step]
+            exact = ((rows[r] - queries[q]) ** 2).sum(1)
+            _merge(self.best_d, self.best_c, which[q], exact, ids[r])
 
     def results(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query numbers, ids and squared distances found."""
@@ -60,9 +69,9 @@ class Nearest:
 def _merge(best_d, best_c, where_q, exact, ids) -> None:
     """Folds candidates, grouped by query, into the running best lists."""
     k = best_d.shape[1]
-    starts = np.searchsorted(where_q, np.arange(len(best_d) + 1))
-    for q in np.unique(where_q):
-        span = slice(starts[q], starts[q + 1])
+    queries, starts = np.unique(where_q, return_index=True)
+    for q, start, end in zip(queries, starts, [*starts[1:], len(where_q)], strict=True):
+        span = slice(start, end)
         d = np.concatenate([best_d[q], exact[span]])
         c = np.concatenate([best_c[q], ids[span]])
         order = np.lexsort((c, d))[:k]

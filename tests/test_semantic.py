@@ -228,3 +228,20 @@ def test_blank_query_is_refused(spark):
     q = spark.createDataFrame([(1, "  ")], "query_id long, query_text string")
     with pytest.raises(Exception, match="searchable term"):
         S.embed_queries(q, axes).collect()
+
+
+def test_equal_vectors_take_no_more_memory():
+    import tracemalloc
+
+    from tessera.functions.vectors import Nearest
+
+    same = np.ones((1024, 64))
+    ids = np.arange(1024)[::-1].copy()
+    tracemalloc.start()
+    best = Nearest(same, 3)
+    best.offer(ids, same)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    _, found, far = best.results()
+    assert found.tolist() == [0, 1, 2] * 1024 and not far.any()
+    assert peak < 150e6

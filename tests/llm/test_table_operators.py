@@ -146,6 +146,34 @@ def test_scans_in_blocks_and_slices_lose_no_link(spark, monkeypatch, seed):
     assert sorted(map(tuple, components(documents(spark, rows)).collect()), key=repr) == plain_components(rows)
 
 
+def test_blocks_meet_their_slices_in_one_task(spark, monkeypatch):
+    """Both sides of a scan deal their cells out alike, where partitions are not joined into one."""
+    for name, value in (("LIGHT", 2), ("ROUNDS", 0), ("BLOCK", 600)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = near_copies(5)
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        got = sorted(map(tuple, components(documents(spark, rows)).collect()), key=repr)
+    finally:
+        spark.conf.unset(setting)
+    assert got == plain_components(rows)
+
+
+def test_rounds_of_a_scan_shuffle_no_more_than_the_stored_sets(spark, monkeypatch):
+    """Unrelated texts with one passage: each is compared with each, in tasks dealt over rounds."""
+    for name, value in (("LIGHT", 2), ("ROUNDS", 0), ("BLOCK", 600), ("ROUND", 600)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rounds, add = [], jaccard_join.Links.add
+    monkeypatch.setattr(jaccard_join.Links, "add", lambda links, found: (rounds.append(found), add(links, found)))
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, f"{passage} " + " ".join(f"t{i}w{j}" for j in range(6 + i % 2))) for i in range(60)]
+    rows += [(i + 100, t + " end") for i, t in rows[:9]]
+    got = sorted(map(tuple, components(documents(spark, rows)).collect()), key=repr)
+    assert got == plain_components(rows)
+    assert len(rounds) > 3
+
+
 def test_an_id_with_several_texts_links_through_all_of_them(spark):
     a, b = PLAIN, " ".join(f"b{i}" for i in range(30))
     rows = [(3, a), (10, a), (3, b), (2, b), (20, a + " more"), (7, b + " end"), (30, "else"), (30, None), (31, "else")]

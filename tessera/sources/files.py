@@ -63,6 +63,7 @@ def is_hidden(name: str, folder: bool) -> bool:
 
 
 LISTED = "path string, is_folder boolean, hidden boolean, length long, modificationTime timestamp"
+LISTING = "path string, modificationTime timestamp, length long"
 SPLIT_BYTES = 128 << 20  # of hidden files a task reads
 LISTED_ROWS = 10_000  # names a task hands on at once
 
@@ -122,6 +123,23 @@ def hidden_files(spark: SparkSession, roots: Iterable[str], wanted: list[str]) -
     return files.select("path", "modificationTime", "length")
 
 
+def read_listed(names: DataFrame) -> DataFrame:
+    """Files of a listing (path, modificationTime, length) with a known extension, read in tasks.
+
+    A file above the reader's size limit is a row without content, as in `scan_files`.
+    """
+    spark = names.sparkSession
+    names = names.filter(extension(F.col("path")).isin(list(DOC_TYPES))).select(
+        "path", "modificationTime", "length"
+    )
+    fitting = F.col("length") <= int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    size = names.filter(fitting).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(math.ceil(size / SPLIT_BYTES), spark.sparkContext.defaultParallelism)
+    small = names.filter(fitting).repartition(tasks, "path").mapInArrow(_read_contents, schemas.FILES)
+    large = names.filter(~fitting).withColumn("content", F.lit(None).cast("binary"))
+    return small.unionByName(large).withColumn("path", plain_path(F.col("path")))
+
+
 def plain_root(root: str) -> str:
     return re.sub(r"\Afile:/+", "/", root)
 

@@ -12,7 +12,15 @@ from tessera.operators.runlog import number_events
 from tessera.plans.ingest import ingest_files
 from tessera.plans.state import SnapshotLog
 from tessera.session import materialize
-from tessera.sources.files import DOC_TYPES, describe_files, extension, plain_path, root_exists
+from tessera.sources.files import (
+    DOC_TYPES,
+    LISTING,
+    describe_files,
+    extension,
+    plain_path,
+    read_listed,
+    root_exists,
+)
 
 
 def stream_files(spark: SparkSession, root: str, files_per_batch: int = 10_000) -> DataFrame:
@@ -35,6 +43,7 @@ def ingest_stream(
     checkpoint: str,
     log: SnapshotLog,
     files_per_batch: int = 10_000,
+    listing: str | None = None,
     **options,
 ) -> StreamingQuery:
     """Ingests what has newly arrived below `root` into the log's latest state, then stops.
@@ -43,20 +52,28 @@ def ingest_stream(
     a batch are read once, with their fingerprints, into the shared folder.  A batch takes
     effect once: one that is replayed after a failure is passed over if its state was stored,
     and otherwise starts from the same state as before.  A batch without files adds no run.
+
+    Spark's stream keeps the path of every file below `root` in the driver.  Where whatever
+    lands the files also appends their (path, modificationTime, length) to a Parquet table,
+    `listing`, the stream is that of the table, `files_per_batch` counts its files, and tasks
+    read what it names by path.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         if log.holds(checkpoint, batch_id):
             return
-        files = materialize(describe_files(batch))
+        files = materialize(describe_files(batch if listing is None else read_listed(batch)))
         if files.isEmpty():
             return
         result = ingest_files(files, [root], log.latest(), detect_deletions=False, **options)
         log.commit(result.state, checkpoint, batch_id)
 
+    if listing is None:
+        arrived = stream_files(spark, root, files_per_batch)
+    else:
+        arrived = stream_events(spark, listing, StructType.fromDDL(LISTING), files_per_batch)
     return (
-        stream_files(spark, root, files_per_batch)
-        .writeStream.foreachBatch(step)
+        arrived.writeStream.foreachBatch(step)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

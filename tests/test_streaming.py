@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 
+from catalog.corpus import write_texts
 from tessera.plans.state import SnapshotLog
 from tessera.streaming.jobs import (
     copy_events,
@@ -107,3 +108,16 @@ def test_event_tail_delivers_each_event_once(spark, tmp_path, sf_dir):
         copy_events(stream_events(spark, source), target, str(tmp_path / "cp")).awaitTermination()
         assert spark.read.parquet(target).count() == high
     assert spark.read.parquet(target).select("id").distinct().count() == 1000
+
+
+def test_listed_files_are_ingested_without_a_listing_in_the_driver(spark, tmp_path):
+    """What a table names is read by path in tasks; a file that it does not name is not looked for."""
+    log, place, listing = SnapshotLog(spark, str(tmp_path / "log")), str(tmp_path / "in"), str(tmp_path / "listing")
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(5)], "doc_id long, text string")
+    for part in ("doc_id < 3", "doc_id >= 3"):
+        write_texts(docs.where(part), place, listing)
+        (tmp_path / "in" / "unlisted.txt").write_text("unlisted")
+        ingest_stream(spark, place, str(tmp_path / "cp"), log, 1000, listing).awaitTermination()
+    runs = log.latest().runs.orderBy("run_id").collect()
+    assert [(r.run_id, r.docs_added) for r in runs] == [(1, 3), (2, 2)]
+    assert sorted(r.title for r in log.latest().documents.collect()) == [f"text {i}" for i in range(5)]
